@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, topk
-from .common import hex64, read_table
+from . import bpe, licenses, packing, simhash, store, topk
+from .common import Scratch, hex64, read_table
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,30 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode_documents(read_table(spark, sf_dir, "documents"), ranks, pattern)
+    decoded = bpe.decode_documents(encoded, ranks, pattern)
+    decimals = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimals.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(read_table(spark, sf_dir, "documents")))
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "token-store").path("store")
+    store.write_store(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return store.read_digests(spark, path)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1).drop("row_id")
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(read_table(spark, sf_dir, "embeddings"))
 
@@ -40,6 +65,10 @@ select query_id, rank::int as rank, vec_id, score from r where rank <= 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_license_scan": op5_license_scan,
+    "op7_token_store": op7_token_store,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
