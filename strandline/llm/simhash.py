@@ -75,6 +75,26 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big") if total else 0
 
 
+#: Multipliers and offsets of the min-wise hashes: any odd numbers do.
+BANDS, BAND_ROWS = 32, 6
+_DRAW = np.random.default_rng(20_240_601)
+SPREAD = _DRAW.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+OFFSET = _DRAW.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+
+
+def sketch(text: str | None, shingle: int = 5, seed: int = 42) -> tuple[int, np.ndarray]:
+    """The fingerprint, and the min-wise hashes of the set of shingles (all ones without words)."""
+    total, ones = 0, np.zeros(64, np.int64)
+    least = np.full(len(SPREAD), np.iinfo(np.uint64).max)
+    for hashes in shingle_hashes(text, shingle, seed):
+        total += len(hashes)
+        for at in range(0, len(hashes), 1 << 12):
+            some = hashes[at : at + (1 << 12)]
+            ones += np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int32)
+            np.minimum(least, (some[:, None] * SPREAD + OFFSET).min(0), out=least)
+    return (int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big") if total else 0), least
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -96,23 +116,26 @@ def masks(blocks: int, max_bits: int) -> list[int]:
     return [signed(sum(some)) for some in itertools.combinations(block, blocks - max_bits)]
 
 
-def stars(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Connected pieces of fingerprints under Hamming distance: (smallest, other) for each other."""
-    fps = np.unique(fps)
+def stars(fps: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
+    """Connected pieces of distinct, ascending fingerprints: (smallest, other) for each other.
+
+    near(front, rest) tells for indices front and rest which of them are linked.
+    """
     n, seen, low, high = len(fps), np.zeros(len(fps), bool), [], []
     for first in range(n):
         if seen[first]:
             continue
         seen[first] = True
-        front, piece = fps[first : first + 1], []
+        front, piece = np.array([first]), []
         while len(front):
             rest = np.flatnonzero(~seen)
             hit = np.zeros(len(rest), bool)
-            for at in range(0, len(front), 256):
-                hit |= (np.bitwise_count(front[at : at + 256, None] ^ fps[None, rest]) <= max_bits).any(0)
-            seen[rest[hit]] = True
-            front = fps[rest[hit]]
-            piece.append(front)
+            for at in range(0, len(front), 64):
+                left = np.flatnonzero(~hit)
+                hit[left] = near(front[at : at + 64], rest[left]).any(0)
+            front = rest[hit]
+            seen[front] = True
+            piece.append(fps[front])
         others = np.concatenate(piece)
         low.append(np.full(len(others), fps[first]))
         high.append(others)
@@ -120,56 +143,89 @@ def stars(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(low), np.concatenate(high)) if low else (empty, empty)
 
 
-def star_runs(max_bits: int):
-    """For mapInArrow over rows sorted by (key, tile): the stars of every run, a run at a time."""
+def hamming(max_bits: int):
+    """For star_runs: links of at most max_bits different bits."""
+
+    def over(fps: np.ndarray, _):
+        return lambda front, rest: np.bitwise_count(fps[front, None] ^ fps[None, rest]) <= max_bits
+
+    return over
+
+
+def agreeing(similarity: float):
+    """For star_runs: links of sketches that agree in at least that share."""
+
+    def over(_, sketches: np.ndarray):
+        need = similarity * sketches.shape[1]
+        return lambda front, rest: (sketches[front][:, None, :] == sketches[rest][None, :, :]).sum(2) >= need
+
+    return over
+
+
+def star_runs(over):
+    """For mapInArrow over rows sorted by (key, tile): the stars of every run, a run at a time.
+
+    ``over`` makes the link test of a run from its fingerprints and, where there are any, sketches.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(batches):
-        keys, fps = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-
-        def flush(keys, fps):
-            edge = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            starts, stops = np.r_[0, edge], np.r_[edge, len(fps)]
-            two = starts[stops - starts == 2]
-            near = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= max_bits]
-            a, b = [np.minimum(fps[near], fps[near + 1])], [np.maximum(fps[near], fps[near + 1])]
-            for i, j in zip(starts, stops):
-                if j - i > 2:
-                    low, high = stars(fps[i:j], max_bits)
-                    a.append(low)
-                    b.append(high)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
+    def flush(table: pa.Table, edges: np.ndarray):
+        fps = table["fp"].to_numpy()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in zip(edges, edges[1:]):
+            own, at = np.unique(fps[i:j], return_index=True)
+            if len(own) < 2:
+                continue
+            sketches = None
+            if "sketch" in table.column_names:
+                sketches = np.stack([np.frombuffer(x, np.uint8) for x in table["sketch"].slice(i, j - i).to_pylist()])[at]
+            low, high = stars(own, over(own, sketches))
+            a.append(low)
+            b.append(high)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
 
+    def run(batches):
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.concatenate([keys, np.stack([batch["key"].to_numpy(), batch["tile"].to_numpy()], 1)])
-            fps = np.concatenate([fps, batch["fp"].to_numpy()])
-            last = np.flatnonzero((keys != keys[-1]).any(1))
-            cut = last[-1] + 1 if len(last) else 0
-            if cut:
-                yield flush(keys[:cut], fps[:cut])
-                keys, fps = keys[cut:], fps[cut:]
-        if len(fps):
-            yield flush(keys, fps)
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = np.stack([held["key"].to_numpy(), held["tile"].to_numpy()])
+            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            if len(edges):
+                yield flush(held, np.r_[0, edges])
+                held = held.slice(edges[-1])
+        if held is not None:
+            yield flush(held, np.array([0, held.num_rows]))
 
     return run
 
 
-def links(fps: DataFrame, max_bits: int = 3, blocks: int = 6, tile: int = 2048) -> DataFrame:
-    """Edges (a, b) that connect exactly what Hamming distance <= max_bits connects.
+def near_tiles(keyed: DataFrame, over, tile: int, sketches: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) of the keys that several different fingerprints share, of keyed(key, fp).
 
-    ``fps`` has one row per different fingerprint. ``tile`` bounds the fingerprints that meet in
-    one place: a key with more is dealt into parts, and each two parts get a tile of their own.
+    ``tile`` bounds the fingerprints that meet in one place: a key with more is dealt into parts,
+    and each two parts get a tile of their own.
     """
-    pieces = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(blocks, max_bits))])
-    keyed = fps.select("fp", F.explode(pieces).alias("key"))
     sizes = keyed.groupBy("key").count().where("count > 1")
     part = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("parts"))
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.least(i, part) * F.col("parts") + F.greatest(i, part))
     dealt = keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("count") / tile)).select("key", "fp", F.explode(tiles).alias("tile"))
+    if sketches is not None:
+        dealt = dealt.join(sketches, "fp")
     near = dealt.repartition("key", "tile").sortWithinPartitions("key", "tile")
-    return near.mapInArrow(star_runs(max_bits), "a long, b long").distinct()
+    return near.mapInArrow(star_runs(over), "a long, b long").distinct()
+
+
+def links(fps: DataFrame, max_bits: int = 3, blocks: int = 6, tile: int = 2048) -> DataFrame:
+    """Edges (a, b) that connect exactly what Hamming distance <= max_bits connects.
+
+    ``fps`` has one row per different fingerprint.
+    """
+    pieces = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(blocks, max_bits))])
+    keyed = fps.select("fp", F.explode(pieces).alias("key"))
+    return near_tiles(keyed, hamming(max_bits), tile)
 
 
 def near_duplicate_components(docs: DataFrame, shingle: int = 3, max_bits: int = 3, blocks: int = 6, seed: int = 42, tile: int = 2048) -> DataFrame:
@@ -185,3 +241,55 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 3, max_bits: int =
     smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def similar_links(sketches: DataFrame, similarity: float, tile: int = 1024) -> DataFrame:
+    """Edges (a, b) of fingerprints whose sketches(fp, bands ARRAY<LONG>, sketch) agree in at least ``similarity``."""
+    keyed = sketches.select("fp", F.posexplode("bands").alias("band", "value")).select("fp", F.xxhash64("band", "value").alias("key"))
+    return near_tiles(keyed, agreeing(similarity), tile, sketches.select("fp", "sketch"))
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 3, blocks: int = 6, seed: int = 42) -> DataFrame:
+    """One row of each group of near-duplicates, all columns of docs as they were.
+
+    Links are of two kinds: fingerprints over ``shingle`` words within ``max_bits`` bits, by
+    pigeonhole blocks; and shingle sets of Jaccard similarity ``similarity`` or more, which at 0.8
+    lie about 10 of 64 bits apart, too far for blocks to meet. Those are found by bands of min-wise
+    hashes (a pair at 0.8 shares one with probability 0.9999) and judged by all 192 of them.
+    The row with the smallest id stays, null ids last.
+    """
+    scratch = Scratch(docs.sparkSession, "dedup")
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+
+    def run(batch):
+        found = [sketch(t, shingle, seed) for t in batch["text"].to_pylist()]
+        least = np.stack([m for _, m in found]) if found else np.zeros((0, len(SPREAD)), np.uint64)
+        rows = least.reshape(len(found), BANDS, BAND_ROWS)
+        bands = (rows * SPREAD[:BAND_ROWS]).sum(2, dtype=np.uint64).view(np.int64)
+        return {
+            "doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": [signed(f) for f, _ in found], "bands": list(bands),
+            "sketch": [x.tobytes() for x in (least >> np.uint64(20) & np.uint64(255)).astype(np.uint8)],
+        }
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash.alias("text_hash"))
+    kind = "doc_id long, text_hash long, fp long, bands array<long>, sketch binary"
+    rows = scratch.keep(rows.mapInArrow(per_slice(run, schema), kind), "rows")
+    sketches = scratch.keep(rows.groupBy("fp").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sketches")
+    edges = links(sketches.select("fp"), max_bits, blocks).unionByName(similar_links(sketches, similarity))
+    roots = connected_components(edges, scratch)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", F.col("n"))
+    counted = rows.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    best = counted.groupBy("fp").agg(F.min(order).alias("best")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    stay = best.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select("best.doc_id", "best.text_hash", "best.n")
+    stay = scratch.keep(stay, "stay")
+    scratch.drop("sketches")
+
+    def among(some: DataFrame) -> DataFrame:
+        some = some.select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"))
+        return docs.join(some, docs["doc_id"].eqNullSafe(some["stay_id"]) & (text_hash == some["stay_hash"]), "left_semi")
+
+    kept = among(stay.where("n = 1"))
+    if not stay.where("n > 1").isEmpty():
+        kept = kept.unionByName(among(stay.where("n > 1")).dropDuplicates(["doc_id", "text"]))
+    return kept
