@@ -139,7 +139,7 @@ class Features:
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, width: int, rounds: int = 150, rate: float = 1.0, ridge: float = 1e-5) -> np.ndarray:
     """Logistic weights (the last is the constant) by full-batch AdaGrad on soft labels."""
-    lengths = np.array([len(s) for s, _ in rows])
+    lengths = np.array([len(s) for s, _ in rows], np.int64)
     row = np.repeat(np.arange(len(rows)), lengths)
     slots = np.concatenate([s for s, _ in rows]) if rows else np.zeros(0, np.int64)
     values = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
