@@ -337,8 +337,8 @@ def label_agreement(spark, sf_dir):
     return r6(labels.agreement(df, "quality", "toxic", F.col("source") != "src0", F.col("quality").isNotNull(), ["lang"]))
 
 
-@query(f"""with v as (select vec_id, list_transform(embedding, lambda x: abs(x::double)) as a from embeddings), p as (select vec_id, list_transform(a, lambda x: x / list_sum(a)) as p from v), m as (select vec_id, p, list_max(p) as top, list_position(p, list_max(p)) as at from p)
-select vec_id, (at - 1)::int as top_class, round(top, 9) + 0.0 as top_p, round(top - list_sort(p, 'desc')[2], 9) + 0.0 as margin, {R('list_sum(list_transform(p, lambda x: case when x > 0 then -x * ln(x) else 0 end)) / ln(64)')} as entropy,
+@query(f"""with v as (select vec_id, list_transform(embedding, lambda x: abs(x::double)) as a from embeddings), p as (select vec_id, list_transform(a, lambda x: x / list_sum(a)) as p from v), m as (select vec_id, p, list_max(p) as top, list_position(p, list_max(p)) as pos from p)
+select vec_id, (pos - 1)::int as top_class, round(top, 9) + 0.0 as top_p, round(top - list_sort(p, 'desc')[2], 9) + 0.0 as margin, {R('list_sum(list_transform(p, lambda x: case when x > 0 then -x * ln(x) else 0 end)) / ln(64)')} as entropy,
 (case when top < 0.05 then 1 else 0 end) | (case when top - list_sort(p, 'desc')[2] < 0.002 then 2 else 0 end) as reasons from m""")
 def probability_vectors(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", labels.normalised(F.col("embedding").cast("array<double>")).alias("p"))
