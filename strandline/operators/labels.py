@@ -125,6 +125,6 @@ def map_phrases(df: DataFrame, phrase_id: str, phrase: str, vocabulary: DataFram
     best = scored.groupBy(phrase_id, "class_name").agg(F.max(score).alias("score"))
     w = Window.partitionBy(phrase_id).orderBy(F.desc("score"), "class_name")
     ranked = best.withColumns({"rank": F.row_number().over(w), "next": F.lead("score").over(w)}).where("rank = 1")
-    verdict = F.when(F.col("score") < least, "none").when((F.col("score") < 1) & (F.col("score") - F.coalesce("next", F.lit(0.0)) < margin), "ambiguous").otherwise("mapped")
+    verdict = F.when(F.coalesce("score", F.lit(0.0)) < least, "none").when((F.col("score") < 1) & (F.col("score") - F.coalesce("next", F.lit(0.0)) < margin), "ambiguous").otherwise("mapped")
     out = own.select(phrase_id).join(ranked, phrase_id, "left")
-    return out.select(phrase_id, F.when(F.coalesce("score", F.lit(0.0)) >= least, F.col("class_name")).alias("class_name"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(verdict, F.lit("none")).alias("verdict"))
+    return out.select(phrase_id, F.when(F.coalesce("score", F.lit(0.0)) >= least, F.col("class_name")).alias("class_name"), F.coalesce("score", F.lit(0.0)).alias("score"), verdict.alias("verdict"))

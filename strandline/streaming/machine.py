@@ -54,7 +54,7 @@ OUT = "recording_id long, t long, sample_index long, on boolean, age int, reset
 def state_machine(df: DataFrame, up: float, down: float, gap_ns: int, ttl: int) -> DataFrame:
     """Batch form: a key's rows in (t, sample_index) order."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out, _ = stabilise(rows.sort_values(["t", "sample_index"]), {}, up, down, gap_ns, ttl)
         out.insert(0, "recording_id", key[0])
         return out
