@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import more_queries, stream_queries, table_queries
+from . import gaze_queries, more_queries, stream_queries, table_queries
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "more_queries", "stream_queries", "table_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "gaze_queries", "more_queries", "stream_queries", "table_queries"]
