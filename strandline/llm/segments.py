@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -54,53 +56,77 @@ class SegmentEncoder:
         self.letters = byte_letters()
         self.lead = self.letters[0x20] if leading else ""
         self.known: dict[str, bytes] = {"": b""} if not leading else {}
+        #: Stretches without a space before them: at a text's start and after a line's end.
+        self.first: dict[str, bytes] = {}
+        self.line_end = self.packed(self.tokenizer.encode("\n", add_special_tokens=False).ids)
         self.marks = {mark: self.packed(self.tokenizer.encode(mark, add_special_tokens=False).ids) for mark in MARKS}
         self.room = room
 
     def packed(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+        numbers = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            numbers.byteswap()
+        return numbers.tobytes()
 
     def cut(self, text: str) -> list[str]:
         """The stretches; with ``leading`` all but the first have lost the space before them."""
         if not self.leading:
-            return (text.lower() if latin(text) else text).split(" ")
+            return (text.lower().replace("\n", " ") if latin(text) else text).split(" ")
         return SAFE_SPACE.split(text) if text[:1] == " " or text[-1:] == " " or PAIR.search(text) else text.split(" ")
 
-    def word(self, core: str) -> bytes:
+    def word(self, core: str, lead: str) -> bytes:
         """A word of Latin letters, as one pre-token."""
         if not self.leading:
             core = core.lower()
         spelt = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
-        return self.packed([token.id for token in self.model.tokenize(self.lead + spelt)])
+        return self.packed([token.id for token in self.model.tokenize(lead + spelt)])
 
-    def learn(self, words: list[str], store: dict[str, bytes], lead: str) -> None:
-        rest = []
+    def learn(self, words, store: dict[str, bytes], spaced: bool) -> None:
+        """Add the ids of the words to the store; ``spaced``: with the space before them."""
+        lead, rest = self.lead if spaced else "", []
         for word in words:
-            core, mark = (word[:-1], word[-1]) if word[-1:] in self.marks else (word, "")
-            if core.isalpha() and latin(core) and (lead or not self.leading):
+            mark = word[-1:] if word[-1:] in self.marks else ""
+            core = word[:-1] if mark else word
+            if core.isalpha() and (core.isascii() or latin(core)):
                 found = store.get(core) if mark else None
-                store[word] = (found if found is not None else self.word(core)) + (self.marks[mark] if mark else b"")
+                store[word] = (self.word(core, lead) if found is None else found) + (self.marks[mark] if mark else b"")
+                continue
+            lines = word.split("\n") if self.leading and "\n" in word else ()
+            if lines and all(lines) and word.split() == lines:
+                # A single line end between two non-space characters is a pre-token by itself.
+                ids = [self.single(lines[0], store, spaced)]
+                for line in lines[1:]:
+                    ids += self.line_end, self.single(line, self.first, False)
+                store[word] = b"".join(ids)
             else:
                 rest.append(word)
         if rest:
-            for word, found in zip(rest, self.tokenizer.encode_batch_fast([lead + w for w in rest], add_special_tokens=False)):
+            gap = " " if spaced else ""
+            for word, found in zip(rest, self.tokenizer.encode_batch_fast([gap + w for w in rest], add_special_tokens=False)):
                 store[word] = self.packed(found.ids)
 
+    def single(self, word: str, store: dict[str, bytes], spaced: bool) -> bytes:
+        found = store.get(word)
+        if found is None:
+            self.learn((word,), some := {}, spaced)
+            found = some[word]
+            if len(store) < self.room and len(word) < 40:
+                store[word] = found
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         known, get, out, added = self.known, self.known.get, [], []
         for text in texts:
             part = self.cut(text)
-            head = b""
-            if self.leading:
-                first = part.pop(0)
-                self.learn([first], one := {}, "")
-                head = one[first]
+            head = self.single(part.pop(0), self.first, False) if self.leading else b""
             found = list(map(get, part))
             if None in found:
-                new = [w for w, f in zip(part, found) if f is None]
-                self.learn(list(dict.fromkeys(new)), known, " " if self.leading else "")
+                gaps = [i for i, f in enumerate(found) if f is None]
+                new = dict.fromkeys(map(part.__getitem__, gaps))
+                self.learn(new, known, self.leading)
                 added += new
-                found = list(map(get, part))
+                for i in gaps:
+                    found[i] = known[part[i]]
             out.append(head + b"".join(found))
             if len(known) > self.room:
                 for word in added:

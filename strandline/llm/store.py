@@ -129,8 +129,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, bl
         encoder = segment_encoder(tokenizer_path, True)
         end, sent = np.array([end_id], encoder.kind).tobytes(), set()
         for batch in slices(batches):
-            out = []
-            for doc_id, row_id, ids in zip(batch["doc_id"].to_pylist(), batch[ROW_ID].to_pylist(), encoder.encode(batch["text"].to_pylist())):
+            chunks, recipes = [], []
+            for row_id, ids in zip(batch[ROW_ID].to_pylist(), encoder.encode(batch["text"].to_pylist())):
                 ids += end
                 array = np.frombuffer(ids, encoder.kind)
                 ends, digests, at = chunk_ends(array), [], 0
@@ -140,10 +140,15 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, bl
                     if name not in sent:
                         if len(sent) < REMEMBERED:
                             sent.add(name)
-                        out.append({"kind": "chunk", "place": name, "n": stop - at, "payload": payload})
+                        chunks.append((name, stop - at, payload))
                     at = stop
-                out.append({"kind": "recipe", "place": row_id.to_bytes(8, "little"), "doc_id": doc_id, ROW_ID: row_id, "n_tokens": len(array), "width": encoder.width, "digests": digests, "ends": ends, "root": merkle(digests)})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                recipes.append((row_id.to_bytes(8, "little"), len(array), digests, ends, merkle(digests)))
+            for kind_name, names, found in (("chunk", ("place", "n", "payload"), chunks), ("recipe", ("place", "n_tokens", "digests", "ends", "root"), recipes)):
+                columns = dict(zip(names, zip(*found))) | ({"doc_id": batch["doc_id"], ROW_ID: batch[ROW_ID], "width": [encoder.width] * len(found)} if kind_name == "recipe" else {})
+                columns["kind"] = [kind_name] * len(found)
+                if found:
+                    arrays = [columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(found), f.type) for f in schema]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def once(batches):
         last = None
