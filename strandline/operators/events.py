@@ -19,12 +19,14 @@ def detect(df: DataFrame, keys: list[str], rules: dict[str, Column], min_s: floa
     return found.withColumn("event_name", F.format_string("%s_%03d", "kind", F.row_number().over(w)))
 
 
-def windows(events: DataFrame, spec: DataFrame, spans: DataFrame, keys: list[str], event_id: str, contaminating: list[str] | None = None) -> DataFrame:
+def windows(events: DataFrame, spec: DataFrame, spans: DataFrame, keys: list[str], event_id: str, contaminating: list[str] | None = None, bucket_ns: int = 60_000_000_000) -> DataFrame:
     """Windows of each event from spec(name, from_s, to_s).
 
     Offsets from 0 on are laid at the event's end, others at its start (so is the window named
     ``event``). Windows are clipped to the recording of ``spans(start0, end0)``, and trimmed by
-    other families' contaminating events between the window's far end and the event.
+    other families' contaminating events between the window's far end and the event. Only what
+    overlaps a window can trim it, so both meet in buckets of bucket_ns; choose it near the
+    windows' length.
     """
     at_end = (F.col("from_s") >= 0) & (F.col("window") != "event")
     anchor = F.when(at_end, F.col("end")).otherwise(F.col("start"))
@@ -34,7 +36,9 @@ def windows(events: DataFrame, spec: DataFrame, spans: DataFrame, keys: list[str
     laid = laid.withColumns({"a": F.greatest("want_a", "start0"), "b": F.least("want_b", "end0")})
     if contaminating:
         other = events.where(F.col("kind").isin(contaminating)).select(*keys, F.col("kind").alias("_kind"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-        cross = laid.select(*keys, event_id, "window", "kind", "start", "end", "a", "b").join(other, keys).where(F.col("_kind") != F.col("kind"))
+        spread = lambda df, a, b: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(a) / bucket_ns), F.floor(F.greatest(a, b) / bucket_ns))))
+        cut = spread(laid.select(*keys, event_id, "window", "kind", "start", "end", "a", "b"), "a", "b")
+        cross = cut.join(spread(other, "_s", "_e"), [*keys, "_b"]).where(F.col("_kind") != F.col("kind"))
         before = F.max(F.when((F.col("_e") > F.col("a")) & (F.col("_e") <= F.col("start")) & (F.col("_s") < F.col("b")), F.col("_e")))
         after = F.min(F.when((F.col("_s") >= F.col("end")) & (F.col("_e") > F.col("a")) & (F.col("_s") < F.col("b")), F.col("_s")))
         trims = cross.groupBy(*keys, event_id, "window").agg(before.alias("trim_a"), after.alias("trim_b"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_reason, ratio
-from .interval import overlapping
+from .interval import overlapping, within
 from .islands import ordered, runs
 
 
@@ -133,10 +133,10 @@ def one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys)
 
 
-def recovered(short: DataFrame, matched: DataFrame, keys: list[str], label: str, other: str) -> DataFrame:
+def recovered(short: DataFrame, matched: DataFrame, keys: list[str], label: str, other: str, bucket_ns: int) -> DataFrame:
     """Short runs of run A (start, end, label) whose matched rows in run B (t, other) never show the label."""
     own = short.select(*keys, "start", "end", F.col(label).alias("_label"))
     rows = matched.select(*keys, "t", F.col(other).alias("_other"))
-    joined = own.join(rows, keys).where((F.col("t") >= F.col("start")) & (F.col("t") <= F.col("end")))
+    joined = within(rows, own, keys, bucket_ns)
     seen = joined.groupBy(*keys, "start", "end", "_label").agg(F.bool_or(F.col("_other") == F.col("_label")).alias("seen"), F.count("*").alias("n"))
     return seen.where(~F.col("seen")).select(*keys, "start", "end", F.col("_label").alias(label), "n")

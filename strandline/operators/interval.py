@@ -31,13 +31,18 @@ def within(points: DataFrame, intervals: DataFrame, keys: list[str], bucket_ns:
 
 
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], pad_ns: int = 0, how: str = "left_semi", start: str = "start", end: str = "end") -> DataFrame:
-    """Rows of a that some b overlaps (left_semi) or none does (left_anti), b widened by pad_ns on both sides."""
-    other = b.select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col(start) - pad_ns).alias("_start"), (F.col(end) + pad_ns).alias("_end"))
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    condition = (F.col("_start") <= F.col(end)) & (F.col(start) <= F.col("_end"))
-    for c in same:
-        condition = condition & c
-    return a.join(other, condition, how)
+    """Rows of a that some b overlaps (left_semi) or none does (left_anti), b widened by pad_ns on both sides.
+
+    Some b overlaps a row exactly if, of the b that start by the row's end, the latest end reaches
+    the row's start: a running maximum along one time line per key, with no pairs at all. Rows
+    with a NULL bound overlap nothing.
+    """
+    mine = a.withColumns({"_at": F.col(end), "_kind": F.lit(1), "_reach": F.lit(None).cast("long")})
+    other = b.select(*keys, (F.col(start) - pad_ns).alias("_at"), F.lit(0).alias("_kind"), (F.col(end) + pad_ns).cast("long").alias("_reach"))
+    w = Window.partitionBy(*keys).orderBy(F.col("_at").asc_nulls_last(), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    line = mine.unionByName(other.where("_at is not null"), allowMissingColumns=True).withColumn("_latest", F.max("_reach").over(w))
+    hit = F.coalesce((F.col("_latest") >= F.col(start)) & F.col(end).isNotNull(), F.lit(False))
+    return line.where((F.col("_kind") == 1) & (hit if how == "left_semi" else ~hit)).select(*a.columns)
 
 
 def first_overlap(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_order: str, values: list[str], start: str = "start", end: str = "end") -> DataFrame:

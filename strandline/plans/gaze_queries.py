@@ -126,7 +126,7 @@ def micro_events_recovered(spark, sf_dir):
     df = samples(spark, sf_dir)
     short = islands.runs(df, K, F.col("stream")).groupBy("recording_id", "run_id").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.first("stream").alias("label")).drop("run_id")
     other = df.select("recording_id", (F.col("t") + HOUR).alias("t"), F.when(F.col("sample_index") % 3 == 0, "view").otherwise(F.col("stream")).alias("other"))
-    return gaze.recovered(short, other, K, "label", "other")
+    return gaze.recovered(short, other, K, "label", "other", 24 * HOUR)
 
 
 @query(f"""with {S}, st as (select recording_id, stream, quantile_cont(d, 0.5) as med from (select *, t - lag(t) over (partition by recording_id, stream order by t, sample_index) as d from s) group by all), n as (select recording_id, stream, count(*) as n from s group by all)

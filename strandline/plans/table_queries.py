@@ -193,7 +193,7 @@ def _windows(spark, sf_dir):
     df = samples(spark, sf_dir)
     spans = df.groupBy(*K).agg(F.min("t").alias("start0"), F.max("t").alias("end0"))
     spec = spark.createDataFrame([(n, 3600 * a, 3600 * b) for n, a, b in SPEC], "name string, from_s double, to_s double")
-    return events.windows(_events(spark, sf_dir), spec, spans, K, "event_name", ["high"])
+    return events.windows(_events(spark, sf_dir), spec, spans, K, "event_name", ["high"], 24 * HOUR)
 
 
 @query(f"{LAID} select * from win")
