@@ -45,11 +45,13 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], pad_ns: int = 0, ho
     return line.where((F.col("_kind") == 1) & (hit if how == "left_semi" else ~hit)).select(*a.columns)
 
 
-def first_overlap(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_order: str, values: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Each row of a with the first b, by b_order, that overlaps it; NULLs if none does."""
-    other = b.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(b_order).alias("_order"), *[F.col(v).alias(f"first_{v}") for v in values])
-    condition = (F.col("_start") <= F.col(end)) & (F.col(start) <= F.col("_end"))
-    for k in keys:
-        condition = condition & (F.col(k) == F.col(f"_{k}"))
-    w = Window.partitionBy(*keys, a_id).orderBy(F.col("_order").asc_nulls_last())
-    return a.join(other, condition, "left").withColumn("_rank", F.row_number().over(w)).where("_rank = 1").select(*a.columns, *[f"first_{v}" for v in values])
+def first_overlap(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_order: str, values: list[str], bucket_ns: int, start: str = "start", end: str = "end") -> DataFrame:
+    """Each row of a with the first b, by b_order, that overlaps it; NULLs if none does.
+
+    a_id names a row within its key. Both sides meet in the buckets they touch.
+    """
+    spread = lambda df, lo, hi: df.where(F.col(hi) >= F.col(lo)).withColumn("_b", F.explode(F.sequence(F.floor(F.col(lo) / bucket_ns), F.floor(F.col(hi) / bucket_ns))))
+    other = spread(b.select(*keys, F.col(start).alias("_start"), F.col(end).alias("_end"), F.struct(F.col(b_order).alias("_order"), *values).alias("_row")), "_start", "_end")
+    met = spread(a.select(*keys, a_id, start, end), start, end).join(other, [*keys, "_b"]).where((F.col("_start") <= F.col(end)) & (F.col(start) <= F.col("_end")))
+    first = met.groupBy(*keys, a_id).agg(F.min_by("_row", "_row._order").alias("_first"))
+    return a.join(first, [*keys, a_id], "left").select(*a.columns, *[F.col(f"_first.{v}").alias(f"first_{v}") for v in values])

@@ -193,7 +193,7 @@ def interval_overlap_anti(spark, sf_dir):
 @query(f"""with {S}, {IV}, {ERR}, j as (select iv.*, er_id as first_er_id, row_number() over (partition by iv.recording_id, iv_id order by er_id nulls last) as rn
 from iv left join er on er.recording_id = iv.recording_id and er.start <= iv.end and iv.start <= er.end) select * exclude (rn) from j where rn = 1""")
 def interval_first_overlap(spark, sf_dir):
-    return interval.first_overlap(_intervals(spark, sf_dir), _errors(spark, sf_dir), K, "iv_id", "er_id", ["er_id"])
+    return interval.first_overlap(_intervals(spark, sf_dir), _errors(spark, sf_dir), K, "iv_id", "er_id", ["er_id"], 36 * HOUR)
 
 
 W = "window w as (partition by recording_id order by t, sample_index)"
