@@ -327,7 +327,8 @@ def train(pages: list[list[Block]], labels: list[np.ndarray], seed: int = 5, rou
 
 def composed(draw: np.random.Generator, main: list[str], other: list[str]) -> tuple[list[Block], np.ndarray]:
     """A page in a layout of its own from texts of main blocks and of others."""
-    word = lambda names: str(draw.choice(names))
+    # Generator.choice would copy the whole list into an array as wide as its longest text.
+    word = lambda names: names[int(draw.integers(len(names)))]
     shell = ("html", "body") + (("div", f".{word(['page', 'wrapper', 'container', 'site'])}") if draw.random() < 0.5 else ())
     page: list[tuple[Block, float]] = []
 
@@ -388,7 +389,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE, extra: int = COMPOSED, longest:
     other = [b.text for some, y in zip(cut, labels) for b, k in zip(some, y) if not k] or ["menu"]
     # Comments and notices look like prose: half of what isn't main text is taken from it.
     draw = np.random.default_rng(seed)
-    prose = [str(draw.choice(main)) for _ in range(len(other))]
+    prose = [main[int(draw.integers(len(main)))] for _ in range(len(other))]
     made = [composed(draw, main, other + prose) for _ in range(extra)]
     made = [(p, y) for p, y in made if p]
     return train(cut + [p for p, _ in made], labels + [y for _, y in made], seed)
