@@ -378,9 +378,13 @@ def composed(draw: np.random.Generator, main: list[str], other: list[str]) -> tu
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE, extra: int = COMPOSED, longest: int = 200_000, seed: int = 5) -> Labeller | None:
-    """Train on at most ``sample`` pages(html), by hash; pages of over ``longest`` characters don't teach."""
-    rows = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").isNotNull() & (F.length("html") <= longest))
-    found = [r["html"] for r in rows.select("html", F.xxhash64("html").alias("place")).orderBy("place").limit(sample).collect()]
+    """Train on at most ``sample`` pages(page_id, html), by hash; pages of over ``longest`` characters don't teach."""
+    # About twice the sample by hash: else every task would send a whole sample of pages to the driver.
+    chance = min(1.0, 2 * sample / max(1, pages.count()))
+    place = F.xxhash64(F.col("page_id").cast("long"), F.col("html").cast("string"))
+    rows = pages.select(F.col("html").cast("string").alias("html"), place.alias("place")).where(F.pmod("place", F.lit(1_000_000)) < int(1_000_000 * chance) + 1)
+    rows = rows.where(F.col("html").isNotNull() & (F.length("html") <= longest))
+    found = [r["html"] for r in rows.orderBy("place", "html").limit(sample).collect()]
     cut = [some for some in map(blocks, found) if some]
     if not cut:
         return None
