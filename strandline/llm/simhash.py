@@ -147,7 +147,8 @@ def hamming(max_bits: int):
     """For star_runs: links of at most max_bits different bits."""
 
     def over(fps: np.ndarray, _):
-        return lambda front, rest: np.bitwise_count(fps[front, None] ^ fps[None, rest]) <= max_bits
+        bits = fps.view(np.uint64)  # of a signed number numpy counts the bits of its absolute value
+        return lambda front, rest: np.bitwise_count(bits[front, None] ^ bits[None, rest]) <= max_bits
 
     return over
 

@@ -1,4 +1,5 @@
 import collections
+import itertools
 import re
 import zlib
 
@@ -182,6 +183,16 @@ def test_components_equal_brute_force(spark, odd_documents, draw):
     assert simhash.near_duplicate_components(docs.limit(0)).collect() == []
 
 
+def test_the_sign_bit_counts_as_any_other(draw):
+    top, others = 1 << 63, [1 << b for b in range(63)]
+    flips = [top] + [top | a for a in others] + [top | a | b for a, b in itertools.combinations(others, 2)]
+    far = [top | a | b | c for a, b, c in itertools.combinations(others, 3)][::40] + [(1 << 64) - (1 << 53), (1 << 64) - 1]
+    for base in (0, int(draw.integers(1 << 63))):
+        fps = np.array([simhash.signed(base ^ x) for x in [0, *flips, *far]], np.int64)
+        near = simhash.hamming(3)(fps, None)(np.array([0]), np.arange(1, len(fps)))[0]
+        assert near.tolist() == [True] * len(flips) + [False] * len(far)
+
+
 def test_long_chains_are_one_component(spark):
     from strandline.llm.common import Scratch
     from strandline.llm.components import connected_components
