@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -82,17 +83,31 @@ SPREAD = _DRAW.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uin
 OFFSET = _DRAW.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
 
 
-def sketch(text: str | None, shingle: int = 5, seed: int = 42) -> tuple[int, np.ndarray]:
-    """The fingerprint, and the min-wise hashes of the set of shingles (all ones without words)."""
-    total, ones = 0, np.zeros(64, np.int64)
+def shingle_set(parts) -> np.ndarray:
+    """The different hashes of a text's shingle_hashes, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
+
+
+class Sketch(NamedTuple):
+    fp: int
+    set_id: int  # digest of the set of shingles
+    size: int  # different shingles
+    least: np.ndarray  # min-wise hashes of the set (all ones without words)
+
+
+def sketch(text: str | None, shingle: int = 5, seed: int = 42) -> Sketch:
+    total, ones, parts = 0, np.zeros(64, np.int64), []
     least = np.full(len(SPREAD), np.iinfo(np.uint64).max)
     for hashes in shingle_hashes(text, shingle, seed):
         total += len(hashes)
+        parts.append(hashes)
         for at in range(0, len(hashes), 1 << 12):
             some = hashes[at : at + (1 << 12)]
             ones += np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int32)
             np.minimum(least, (some[:, None] * SPREAD + OFFSET).min(0), out=least)
-    return (int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big") if total else 0), least
+    fp = int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big") if total else 0
+    own = shingle_set(parts)
+    return Sketch(fp, xxhash.xxh64_intdigest(own.tobytes(), seed), len(own), least)
 
 
 def signed(x: int) -> int:
@@ -163,10 +178,41 @@ def agreeing(similarity: float):
     return over
 
 
-def star_runs(over):
+def similar_sets(similarity: float):
+    """For star_runs: links of sets of hashes whose Jaccard similarity is at least that, counted exactly."""
+
+    def over(_, sets: list[np.ndarray]):
+        sizes = np.array(list(map(len, sets)))
+        words, places = np.unique(np.concatenate(sets), return_inverse=True)
+        own = np.split(places, np.cumsum(sizes)[:-1])
+        marked = np.zeros(len(words), bool)
+
+        def near(front, rest):
+            # Only whether a row of the front meets it matters, so what is found isn't compared again.
+            hit, left = np.zeros((len(front), len(rest)), bool), np.arange(len(rest))
+            for k, f in enumerate(front):
+                small, large = np.minimum(sizes[f], sizes[rest[left]]), np.maximum(sizes[f], sizes[rest[left]])
+                marked[own[f]] = True
+                for at in left[small >= similarity * large - 1e-9]:
+                    both = np.count_nonzero(marked[own[rest[at]]])
+                    hit[k, at] = both >= similarity * (sizes[f] + sizes[rest[at]] - both) - 1e-9
+                marked[own[f]] = False
+                left = left[~hit[k, left]]
+            return hit
+
+        return near
+
+    return over
+
+
+def read_sketches(some: pa.ChunkedArray) -> np.ndarray:
+    return np.stack([np.frombuffer(x, np.uint8) for x in some.to_pylist()])
+
+
+def star_runs(over, column: str | None = None, read=None):
     """For mapInArrow over rows sorted by (key, tile): the stars of every run, a run at a time.
 
-    ``over`` makes the link test of a run from its fingerprints and, where there are any, sketches.
+    ``over`` makes the link test of a run from its fingerprints and what ``read`` makes of ``column``.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -177,10 +223,7 @@ def star_runs(over):
             own, at = np.unique(fps[i:j], return_index=True)
             if len(own) < 2:
                 continue
-            sketches = None
-            if "sketch" in table.column_names:
-                sketches = np.stack([np.frombuffer(x, np.uint8) for x in table["sketch"].slice(i, j - i).to_pylist()])[at]
-            low, high = stars(own, over(own, sketches))
+            low, high = stars(own, over(own, read(table[column].slice(i, j - i).take(pa.array(at))) if column else None))
             a.append(low)
             b.append(high)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
@@ -203,20 +246,25 @@ def star_runs(over):
     return run
 
 
-def near_tiles(keyed: DataFrame, over, tile: int, sketches: DataFrame | None = None) -> DataFrame:
-    """Edges (a, b) of the keys that several different fingerprints share, of keyed(key, fp).
+def in_tiles(keyed: DataFrame, tile: int, most: int | None = None) -> DataFrame:
+    """The rows of keyed(key, fp, ...) with a column tile, for the keys that several rows share.
 
-    ``tile`` bounds the fingerprints that meet in one place: a key with more is dealt into parts,
-    and each two parts get a tile of their own.
+    ``tile`` bounds the rows that meet in one place, and ``most`` the sum of their column size: a
+    key with more is dealt into parts, and each two parts get a tile of their own.
     """
-    sizes = keyed.groupBy("key").count().where("count > 1")
+    count, parts = F.count("*").alias("count"), F.ceil(F.col("count") / tile)
+    if most:
+        sizes, parts = keyed.groupBy("key").agg(count, F.sum("size").alias("sum")), F.greatest(parts, F.ceil(F.col("sum") / most))
+    else:
+        sizes = keyed.groupBy("key").agg(count)
+    sizes = sizes.where("count > 1").select("key", parts.alias("parts"))
     part = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("parts"))
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.least(i, part) * F.col("parts") + F.greatest(i, part))
-    dealt = keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("count") / tile)).select("key", "fp", F.explode(tiles).alias("tile"))
-    if sketches is not None:
-        dealt = dealt.join(sketches, "fp")
-    near = dealt.repartition("key", "tile").sortWithinPartitions("key", "tile")
-    return near.mapInArrow(star_runs(over), "a long, b long").distinct()
+    return keyed.join(sizes, "key").select(*keyed.columns, F.explode(tiles).alias("tile"))
+
+
+def tile_edges(dealt: DataFrame, runs) -> DataFrame:
+    return dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(runs, "a long, b long").distinct()
 
 
 def links(fps: DataFrame, max_bits: int = 3, blocks: int = 6, tile: int = 2048) -> DataFrame:
@@ -226,7 +274,7 @@ def links(fps: DataFrame, max_bits: int = 3, blocks: int = 6, tile: int = 2048)
     """
     pieces = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(blocks, max_bits))])
     keyed = fps.select("fp", F.explode(pieces).alias("key"))
-    return near_tiles(keyed, hamming(max_bits), tile)
+    return tile_edges(in_tiles(keyed, tile), star_runs(hamming(max_bits)))
 
 
 def near_duplicate_components(docs: DataFrame, shingle: int = 3, max_bits: int = 3, blocks: int = 6, seed: int = 42, tile: int = 2048) -> DataFrame:
@@ -245,52 +293,77 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 3, max_bits: int =
 
 
 def similar_links(sketches: DataFrame, similarity: float, tile: int = 1024) -> DataFrame:
-    """Edges (a, b) of fingerprints whose sketches(fp, bands ARRAY<LONG>, sketch) agree in at least ``similarity``."""
+    """Edges (a, b) of the sets of sketches(fp, bands ARRAY<LONG>, sketch) that agree in at least ``similarity``."""
     keyed = sketches.select("fp", F.posexplode("bands").alias("band", "value")).select("fp", F.xxhash64("band", "value").alias("key"))
-    return near_tiles(keyed, agreeing(similarity), tile, sketches.select("fp", "sketch"))
+    return tile_edges(in_tiles(keyed, tile).join(sketches.select("fp", "sketch"), "fp"), star_runs(agreeing(similarity), "sketch", read_sketches))
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 3, blocks: int = 6, seed: int = 42) -> DataFrame:
+def deduplicate(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 3, blocks: int = 6, seed: int = 42, slack: float = 0.15, tile: int = 1024, most: int = 1 << 20
+) -> DataFrame:
     """One row of each group of near-duplicates, all columns of docs as they were.
 
-    Links are of two kinds: fingerprints over ``shingle`` words within ``max_bits`` bits, by
-    pigeonhole blocks; and shingle sets of Jaccard similarity ``similarity`` or more, which at 0.8
-    lie about 10 of 64 bits apart, too far for blocks to meet. Those are found by bands of min-wise
-    hashes (a pair at 0.8 shares one with probability 0.9999) and judged by all 192 of them.
+    Linked are sets of ``shingle`` words whose Jaccard similarity is ``similarity`` or more, counted
+    on the sets themselves. Which sets are compared is found in two ways: bands of min-wise hashes
+    (a pair at 0.8 shares one with probability 0.9999) whose sketches agree to within ``slack`` of
+    ``similarity``, five standard errors; and fingerprints within ``max_bits`` bits, by pigeonhole
+    blocks. What these connect is a cluster, and all pairs of a cluster are compared, in tiles of
+    two parts of about ``tile`` texts and ``most`` shingles each.
     The row with the smallest id stays, null ids last.
     """
-    scratch = Scratch(docs.sparkSession, "dedup")
+    scratch, exact = Scratch(docs.sparkSession, "dedup"), Scratch(docs.sparkSession, "dedup-exact")
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    fields = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("set_id", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())]
+    schema = pa.schema(fields)
 
     def run(batch):
         found = [sketch(t, shingle, seed) for t in batch["text"].to_pylist()]
-        least = np.stack([m for _, m in found]) if found else np.zeros((0, len(SPREAD)), np.uint64)
+        least = np.stack([f.least for f in found]) if found else np.zeros((0, len(SPREAD)), np.uint64)
         rows = least.reshape(len(found), BANDS, BAND_ROWS)
         bands = (rows * SPREAD[:BAND_ROWS]).sum(2, dtype=np.uint64).view(np.int64)
         return {
-            "doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": [signed(f) for f, _ in found], "bands": list(bands),
-            "sketch": [x.tobytes() for x in (least >> np.uint64(20) & np.uint64(255)).astype(np.uint8)],
+            "doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": [signed(f.fp) for f in found], "set_id": [signed(f.set_id) for f in found], "size": [f.size for f in found],
+            "bands": list(bands), "sketch": [x.tobytes() for x in (least >> np.uint64(20) & np.uint64(255)).astype(np.uint8)],
         }
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash.alias("text_hash"))
-    kind = "doc_id long, text_hash long, fp long, bands array<long>, sketch binary"
+    kind = "doc_id long, text_hash long, fp long, set_id long, size long, bands array<long>, sketch binary"
     rows = scratch.keep(rows.mapInArrow(per_slice(run, schema), kind), "rows")
-    sketches = scratch.keep(rows.groupBy("fp").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sketches")
-    edges = links(sketches.select("fp"), max_bits, blocks).unionByName(similar_links(sketches, similarity))
-    roots = connected_components(edges, scratch)
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", F.col("n"))
-    counted = rows.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    best = counted.groupBy("fp").agg(F.min(order).alias("best")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    stay = best.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select("best.doc_id", "best.text_hash", "best.n")
-    stay = scratch.keep(stay, "stay")
-    scratch.drop("sketches")
-
-    def among(some: DataFrame) -> DataFrame:
-        some = some.select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"))
-        return docs.join(some, docs["doc_id"].eqNullSafe(some["stay_id"]) & (text_hash == some["stay_hash"]), "left_semi")
-
-    kept = among(stay.where("n = 1"))
-    if not stay.where("n > 1").isEmpty():
-        kept = kept.unionByName(among(stay.where("n > 1")).dropDuplicates(["doc_id", "text"]))
-    return kept
+    sketches = scratch.keep(rows.groupBy(F.col("set_id").alias("fp")).agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sketches")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "n", "size")
+    counted = rows.groupBy("set_id", "doc_id", "text_hash").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    best = scratch.keep(counted.groupBy("set_id").agg(F.min(order).alias("best")), "best")
+
+    # Candidates: the sets of one fingerprint, of near fingerprints, and of similar sketches.
+    pairs = rows.select("fp", "set_id").distinct()
+    first = scratch.keep(pairs.groupBy("fp").agg(F.min("set_id").alias("first")), "first")
+    named = lambda side: first.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_first"))
+    same = pairs.join(first, "fp").where("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b"))
+    block = links(first.select("fp"), max_bits, blocks).join(named("a"), "a").join(named("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    roots = connected_components(same.unionByName(block).unionByName(similar_links(sketches, similarity - slack, tile)), scratch)
+    scratch.drop("sketches", "rows", "first")
+    own = F.col("root").alias("key")
+    clusters = roots.select(own, F.col("node").alias("set_id")).unionByName(roots.select(own, F.col("root").alias("set_id")).distinct())
+    keyed = clusters.join(best, "set_id").select("key", F.col("set_id").alias("fp"), "best.doc_id", "best.text_hash", "best.n", "best.size")
+    dealt = exact.keep(in_tiles(keyed, tile, most), "dealt")
+
+    def chosen(some: DataFrame, how: str, *columns: str) -> DataFrame:
+        some = some.withColumnsRenamed({"doc_id": "stay_id", "text_hash": "stay_hash"})
+        texted = docs if how == "left_semi" else docs.select("doc_id", F.col("text").cast("string").alias("text"))
+        found = texted.join(some, texted["doc_id"].eqNullSafe(some["stay_id"]) & (text_hash == some["stay_hash"]), how)
+        return found.select(*columns) if columns else found
+
+    def once(some: DataFrame, how: str, by: list[str], *columns: str) -> DataFrame:
+        """Rows of docs for some(doc_id, text_hash, n), one of each where n rows are alike."""
+        found = chosen(some.where("n = 1"), how, *columns)
+        if not some.where("n > 1").isEmpty():
+            found = found.unionByName(chosen(some.where("n > 1"), how, *columns).dropDuplicates(by))
+        return found
+
+    read = lambda some: [shingle_set(shingle_hashes(t, shingle, seed)) for t in some.to_pylist()]
+    compared = once(dealt, "inner", ["key", "tile", "fp"], "key", "tile", "fp", "text")
+    roots = connected_components(tile_edges(compared, star_runs(similar_sets(similarity), "text", read)), exact)
+    stay = best.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("best").alias("best"))
+    stay = scratch.keep(stay.select("best.doc_id", "best.text_hash", "best.n"), "stay")
+    exact.drop("dealt")
+    return once(stay, "left_semi", ["doc_id", "text"])

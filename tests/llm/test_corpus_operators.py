@@ -224,6 +224,23 @@ def test_deduplication_keeps_one_of_each_group(spark, odd_documents, draw):
     assert simhash.deduplicate(odd_documents.limit(0)).collect() == []
 
 
+def test_deduplication_is_exact_at_the_threshold(spark):
+    rows, kept = [], []
+    for g in range(60):
+        text = [f"g{g}w{i}" for i in range(100)]
+        for c, changed in enumerate([(), (25, 70), (10, 40, 80)]):  # Jaccard 1, 86 / 106 = 0.811 and 81 / 111 = 0.73
+            rows.append((10 * g + c, " ".join(f"new{c}" if i in changed else w for i, w in enumerate(text))))
+        kept += [10 * g, 10 * g + 2]
+    # One fingerprint, as a few shingles outnumber the rest; the sets have 5 of about 130 in common.
+    again = "one two three four five " * 400
+    rows += [(1000 + k, again + " ".join(f"only{k}x{i}" for i in range(60))) for k in range(3)]
+    assert len({simhash.sketch(t).fp for i, t in rows if i >= 1000}) == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (1024, 2):
+        found = [r.doc_id for r in simhash.deduplicate(docs, tile=tile).collect()]
+        assert ordered(found) == ordered(kept + [1000, 1001, 1002])
+
+
 # --- licence scans
 
 
