@@ -2,8 +2,8 @@
 
 Heuristic labellers each vote good, bad or nothing on a document. The counts of all vote
 patterns over the whole corpus (at most 3 to the number of labellers, so bounded) go to the
-driver, where expectation-maximisation estimates how each labeller votes on good and on bad
-documents, and with it every pattern's posterior. A hashed linear scorer, trained on a bounded
+driver, where expectation-maximisation estimates how each labeller votes on bad documents, and on
+good ones within a fixed bound (MOST_WRONG), and with it every pattern's posterior. A hashed linear scorer, trained on a bounded
 sample of documents with these posteriors as labels, then scores every whole text.
 
 Defined cases: a null text, or one without a word, gets score 0 and is rejected; repeated rows
