@@ -52,8 +52,9 @@ OUTSIDE_TAGS = frozenset("nav header footer aside form button menu dialog fields
 WIDTH, UNITS, VECTOR = 4096, 24, 16
 #: Pages that train the labeller, and pages put together besides.
 SAMPLE, COMPOSED = 300, 500
-#: Blocks of a page read at once; a longer page is read in stretches with a margin on both sides.
-STRETCH, EDGE = 512, 16
+#: Blocks of a page read at once; a longer page is read in stretches, which bound memory and not what a
+#: block's label sees. A page teaches with its first stretch.
+STRETCH = 512
 
 
 class Block(NamedTuple):
@@ -230,10 +231,15 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def run_lstm(net: Labeller, side: int, x: np.ndarray, real: np.ndarray):
-    """Hidden states and what backpropagation needs, in the direction's own order; padding keeps the state."""
+def run_lstm(net: Labeller, side: int, x: np.ndarray, real: np.ndarray, state: tuple[np.ndarray, np.ndarray] | None = None):
+    """Hidden states and what backpropagation needs, in the direction's own order; padding keeps the state.
+
+    ``state`` holds h and c where a run goes on from another.
+    """
     steps, lanes, _ = x.shape
     h, c = np.zeros((steps + 1, lanes, UNITS), np.float32), np.zeros((steps + 1, lanes, UNITS), np.float32)
+    if state:
+        h[0], c[0] = state
     gates = np.empty((steps, lanes, 4 * UNITS), np.float32)
     before = x @ net.enter[side] + net.shift[side]
     for t in range(steps):
@@ -400,15 +406,17 @@ def fit(pages: DataFrame, sample: int = SAMPLE, extra: int = COMPOSED, longest:
 
 
 def label_blocks(net: Labeller, page: list[Block], known: dict) -> np.ndarray:
-    """Chances of all blocks of a page; long pages are read in stretches with margins."""
-    if len(page) <= STRETCH:
-        return chances(net, [hashed(page, known)])[0]
-    parts = []
-    for at in range(0, len(page), STRETCH):
-        low = max(0, at - EDGE)
-        p = chances(net, [hashed(page[low : at + STRETCH + EDGE], known)])[0]
-        parts.append(p[at - low : at - low + STRETCH])
-    return np.concatenate(parts)
+    """Chances of all blocks of a page; both directions go on from stretch to stretch of a long one."""
+    parts = [inputs(net, [hashed(page[at : at + STRETCH], known)]) for at in range(0, len(page), STRETCH)]
+    z = np.full(len(page), net.bias[0])
+    for side in range(2):
+        state, own = None, slice(side * UNITS, (side + 1) * UNITS)
+        for k in range(len(parts)) if side == 0 else reversed(range(len(parts))):
+            turn = slice(None, None, -1 if side else 1)
+            h, c, _ = run_lstm(net, side, parts[k][0][turn], parts[k][1][turn], state)
+            state = h[-1], c[-1]
+            z[k * STRETCH : (k + 1) * STRETCH] += (h[1:, 0] @ net.out[own])[turn]
+    return sigmoid(z)
 
 
 def main_texts(net: Labeller | None, htmls: list[str | None], known: dict) -> list[str]:

@@ -315,6 +315,18 @@ def test_main_text_is_the_article(spark, draw):
     assert html.extract(pages.limit(0)).collect() == []
 
 
+def test_labels_of_a_long_page_are_those_of_one_run(draw, monkeypatch):
+    words = "the of and to in river stone carries water slowly over old wooden bridges".split()
+    some = html.blocks("<div>" + "".join(f"<p>{prose(draw, words, 24)}</p>" if k % 3 else f"<div>{draw.choice(words)}</div>" for k in range(1300)) + "</div>")
+    net = html.fresh(3)
+    net.shift[:, html.UNITS : 2 * html.UNITS] = 6  # a memory that reaches over the page
+    want = html.chances(net, [html.hashed(some, {})])[0]
+    assert len(some) == 1300
+    for stretch in (html.STRETCH, 7, 5000):
+        monkeypatch.setattr(html, "STRETCH", stretch)
+        assert np.allclose(html.label_blocks(net, some, {}), want, atol=1e-5)
+
+
 def test_lstm_gradient_is_that_of_the_loss():
     net = html.Labeller(*[w.astype(np.float64) for w in html.fresh(1)])
     pages = [html.blocks(page("<p>One two three.<p>Four.")), html.blocks(page("<p>Five"))]
