@@ -134,7 +134,7 @@ def blocks(page: str | None) -> list[Block]:
                 break
         names = []
         for kind, *values in ATTRIBUTE.findall(match[2] or ""):
-            names += [f".{w}" for w in WORDS.findall("".join(values).lower())][:8]
+            names += dict.fromkeys(f".{w}" for w in WORDS.findall("".join(values).lower()))
         stack.append((name, tuple(names)))
     close_block()
     return found

@@ -292,6 +292,13 @@ def test_blocks_of_malformed_pages():
     assert html.blocks(None) == html.blocks("") == html.blocks("<script>x") == []
 
 
+def test_all_words_of_an_attribute_are_read():
+    text = "This looks like plain prose, and it is long enough to be taken for an article's text."
+    (block,) = html.blocks(f'<div class="max-w-md mx-auto mt-4 p-6 bg-white rounded shadow-lg mt-4 comments">{text}</div>')
+    assert block.path[-1] == ".comments" and len(set(block.path)) == len(block.path)
+    assert html.teacher(block) == 0.0
+
+
 def test_main_text_is_the_article(spark, draw):
     words = "the of and to in river stone carries water slowly over old wooden bridges".split()
     bodies = ["".join(f"<p>{prose(draw, words, 40)}\n &lt;x&gt;" for _ in range(int(draw.integers(1, 6)))) for _ in range(80)]
