@@ -68,6 +68,17 @@ def split_points(words: str, parts: int) -> list[tuple[int, str]]:
     return [(i, words[i:j]) for i, j in zip(edges, edges[1:])]
 
 
+def all_matches(pattern: regex.Pattern, text: str, low: int, high: int):
+    """The best match, then those before and after it, until no match is left."""
+    parts = [(low, high)]
+    while parts:
+        i, j = parts.pop()
+        found = pattern.search(text, i, j)
+        if found:
+            yield found
+            parts += [(i, found.start()), (found.end(), j)]
+
+
 class Scanner:
     def __init__(self, notices: tuple[Notice, ...] = NOTICES, phrases: dict[str, str] = PHRASES):
         self.notices, self.phrases = notices, phrases
@@ -116,8 +127,8 @@ class Scanner:
             runs.sort()
             after = 0
             for low, high in runs:
-                for m in self.match[n].finditer(text, max(low, after), high):
-                    after = m.end()
+                for m in all_matches(self.match[n], text, max(low, after), high):
+                    after = max(after, m.end())
                     first = text.count(" ", 0, m.start() + (text[m.start()] == " ")) - 1
                     spans.append(Span(self.notices[n].label, first, first + m.group().strip().count(" "), sum(m.fuzzy_counts), len(self.notices[n].words)))
         return sorted(spans, key=lambda s: (s.first_word, s.label))

@@ -278,6 +278,16 @@ def test_every_edit_within_the_bound_is_found(draw):
         assert any(s.label == notice.label for s in found), notice
 
 
+def test_less_exact_copies_beside_a_better_one_are_found():
+    scanner = licenses.scanner()
+    for text, edits in (
+        (" all rights reservd all rights reserved ", [1, 0]), (" all rights reserved all rights reservd ", [0, 1]),
+        (" all rights reservd all right reserved all rights reserved all rihts reserved x ", [1, 1, 0, 1]),
+    ):
+        spans = [s for s in scanner.fuzzy(text) if s.label == scanner.fuzzy(" all rights reserved ")[0].label]
+        assert [(s.first_word, s.last_word, s.edits) for s in spans] == [(3 * k, 3 * k + 2, e) for k, e in enumerate(edits)]
+
+
 # --- main text
 
 
