@@ -217,11 +217,14 @@ def fit(docs: DataFrame, teaches: Column | None = None, sample: int = SAMPLE, ta
     """Learn from text and lang of the rows of docs(doc_id, text, lang) where ``teaches`` holds.
 
     The sample is bounded: about ``sample`` texts per language by a hash of the id, ``taken``
-    characters of each from a place the hash gives, and the ``most_labels`` commonest languages.
+    characters of each from a place the hash gives. Every language is learnt; more than ``most_labels``
+    of them are an error.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (teaches if teaches is not None else F.lit(True)))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels + 1).collect()
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} languages in lang: clean the column, or raise most_labels")
     if not counts:
         return LanguageModel([], None)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))

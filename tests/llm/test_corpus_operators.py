@@ -80,6 +80,12 @@ def test_language_without_teachers(spark, spoken):
     assert langid.identify(spoken.limit(0), model).collect() == []
 
 
+def test_more_languages_than_the_bound_are_an_error(spoken):
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        langid.fit(spoken, sample=5, most_labels=2)
+    assert langid.fit(spoken, sample=5, most_labels=3).labels == sorted(TONGUES)
+
+
 # --- quality classifier
 
 
