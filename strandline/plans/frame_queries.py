@@ -97,7 +97,7 @@ def weighted_accuracy(spark, sf_dir):
     return r6(frameset.weighted_accuracy(df, ["lang"], "quality", "said", F.exp(-F.col("n_chars") / 5000.0)))
 
 
-@query(f"""with a as (select o_orderkey, (case when o_orderstatus = 'F' then 0.5 else 0 end) + (case when o_totalprice > 150000 then 0.3 else 0 end) + (case when o_orderpriority like '1%' then 0.4 else 0 end) - (case when o_totalprice < 20000 then 0.5 else 0 end) as s, * exclude (o_orderkey) from orders)
+@query(f"""with a as (select o_orderkey, (case when o_orderstatus = 'F' then 0.5::double else 0 end) + (case when o_totalprice > 150000 then 0.3 else 0 end) + (case when o_orderpriority like '1%' then 0.4 else 0 end) - (case when o_totalprice < 20000 then 0.5 else 0 end) as s, * exclude (o_orderkey) from orders)
 select o_orderkey, case when s >= 0.6 then 'yes' when s <= 0 then 'no' else 'unclear' end as state, {R('least(1, abs(s))')} as confidence, nullif(concat_ws('; ', case when o_orderstatus = 'F' then 'finished' end, case when o_totalprice > 150000 then 'large' end, case when o_orderpriority like '1%' then 'urgent' end, case when o_totalprice < 20000 then 'small' end), '') as reasons from a""")
 def evidence_decision(spark, sf_dir):
     price = F.col("o_totalprice")

@@ -149,9 +149,10 @@ def set_intersection(spark, sf_dir):
     return keys("F").intersect(keys("P"))
 
 
-@query("select c_custkey as k from customer except select o_custkey from orders")
+@query("select o_custkey as k from orders where o_orderstatus = 'F' except select o_custkey from orders where o_orderstatus = 'O'")
 def set_difference(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")))
+    keys = lambda s: table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k"))
+    return keys("F").subtract(keys("O"))
 
 
 @query("with x as (select doc_id, text, first_value(doc_id) over (partition by md5(text) order by doc_id) as first_of, row_number() over (partition by md5(text) order by doc_id) as rn from documents) select doc_id, first_of from x where rn > 1")
