@@ -83,6 +83,32 @@ def per_slice(fn: Callable[[pa.RecordBatch], dict], schema: pa.Schema, rows: int
     return run
 
 
+#: A key with more than this share of the rows is hot. Fewer than 1 / HOT_SHARE keys can be.
+HOT_SHARE = 1 / 2_000
+
+
+def hot_keys(counts: DataFrame, key: str, total: int) -> list:
+    """Rows of the keys of counts(key, count) that hold over HOT_SHARE of ``total`` rows: fewer than 2,000, whatever the table."""
+    bound = max(1_000, int(total * HOT_SHARE))
+    return counts.where((F.col("count") > bound) & F.col(key).isNotNull()).select(key).collect()
+
+
+def lookup(many: DataFrame, one: DataFrame, key: str, how: str = "left", counts: DataFrame | None = None) -> DataFrame:
+    """many join one by ``key``, where one has a row for each key at most, and many may have a key in most rows.
+
+    Rows of hot keys stay where they are and meet these keys' rows of one by broadcast (fewer than
+    1 / HOT_SHARE rows); all others are joined by the key, of which no task then gets a large share.
+    ``counts`` are the rows of many by key, where they are known.
+    """
+    hot = hot_keys(counts if counts is not None else many.groupBy(key).count(), key, many.count())
+    if not hot:
+        return many.join(one, key, how)
+    hot = F.broadcast(many.sparkSession.createDataFrame(hot, many.select(key).schema))
+    cold = many.join(hot, key, "left_anti").join(one, key, how)
+    warm = many.join(hot, key, "left_semi").join(F.broadcast(one.join(hot, key, "left_semi")), key, how)
+    return cold.unionByName(warm)
+
+
 def hex64(col: Column) -> Column:
     """16 lowercase hex digits of a 64-bit pattern held in a LONG."""
     return F.lower(F.lpad(F.hex(col), 16, "0"))

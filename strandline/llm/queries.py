@@ -48,8 +48,8 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "token-store").path("store")
-    store.write_store(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
-    return store.read_digests(spark, path)
+    root = store.write_store(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return store.read_digests(spark, path, root)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,9 @@ class SegmentEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
+        #: A text that holds a special or added token in whatever case is the library's own, as a whole.
+        self.added = re.compile("|".join(added), re.IGNORECASE) if added else None
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
@@ -117,6 +119,9 @@ class SegmentEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         known, get, out, added = self.known, self.known.get, [], []
         for text in texts:
+            if self.added is not None and self.added.search(text):
+                out.append(self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids))
+                continue
             part = self.cut(text)
             head = self.single(part.pop(0), self.first, False) if self.leading else b""
             found = list(map(get, part))

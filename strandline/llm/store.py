@@ -7,7 +7,13 @@ Format, under one folder (all Parquet, so that any store Spark reads will do):
 ``recipes``   files in ascending (doc_id, row_id); block INT is the file's number. doc_id, row_id,
               n_tokens, local_start (ids before it in its block), width, digests ARRAY<BINARY>,
               ends ARRAY<LONG> (ids up to each chunk's end), root BINARY(32): Merkle root of digests.
-``manifest``  block, n_docs, n_tokens, root: Merkle root of the block's document roots.
+``manifest``  block, n_docs, n_tokens, root: Merkle root of the block's document roots. The root over
+              the blocks' roots is the store's; ``write_store`` returns it.
+
+Reading verifies the reconstruction from the payloads upwards: a payload has its digest, a
+document's digests have its root, a block's documents the manifest's root, and the blocks, where the
+reader names it, the store's. A chunk, document or block that is missing, too many or changed is an
+error, never a document less.
 
 Chunks end where a rolling hash of the last 16 ids has ``bits`` zero bits, so equal passages give
 equal chunks wherever they stand. One shuffle carries the payloads; every task sends a payload
@@ -29,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, slices, texts
+from .common import ROW_ID, Scratch, lookup, slices, texts
 from .segments import segment_encoder
 
 SHORTEST, LONGEST, BITS = 64, 4096, 9
@@ -113,8 +119,8 @@ def shifted_crc(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return crc
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, block_docs: int = 20_000, most_blocks: int = 10_000) -> None:
-    """Encode every row of docs(doc_id, text) with the end id appended, and write the store."""
+def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, block_docs: int = 20_000, most_blocks: int = 10_000) -> str:
+    """Encode every row of docs(doc_id, text) with the end id appended, write the store, and return its root."""
     spark = docs.sparkSession
     rows = texts(docs).withColumn(ROW_ID, F.monotonically_increasing_id()).withColumn("text", F.coalesce("text", F.lit("")))
     kind = (
@@ -178,12 +184,51 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, bl
     ordered = recipes.repartitionByRange(blocks, F.col("doc_id").asc_nulls_last(), ROW_ID).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), ROW_ID)
     ordered.mapInArrow(placed, f"{plain}, block int, local_start long").write.mode("overwrite").parquet(f"{path}/recipes")
 
+    block_roots(spark.read.parquet(f"{path}/recipes")).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    return store_root(spark, path)
+
+
+MANIFEST = "block int, n_docs long, n_tokens long, root binary"
+
+
+def block_roots(recipes: DataFrame) -> DataFrame:
+    """The manifest of recipes(block, local_start, n_tokens, root): a row for each block."""
+
     def rooted(table: pa.Table) -> pa.Table:
         table = table.sort_by("local_start")
-        return pa.table({"block": table["block"][:1], "n_docs": [table.num_rows], "n_tokens": [sum(table["n_tokens"].to_pylist())], "root": [merkle(table["root"].to_pylist())]})
+        n = table["n_tokens"].to_numpy()
+        if (table["local_start"].to_numpy() != np.cumsum(n) - n).any():
+            raise ValueError("a block's documents don't follow one another: a recipe is missing or changed")
+        return pa.table({"block": table["block"][:1], "n_docs": [table.num_rows], "n_tokens": [int(n.sum())], "root": [merkle(table["root"].to_pylist())]})
+
+    return recipes.select("block", "local_start", "n_tokens", "root").groupBy("block").applyInArrow(rooted, MANIFEST)
+
+
+def store_root(spark: SparkSession, path: str) -> str:
+    """Hex digits of the Merkle root over the manifest's rows, at most ``most_blocks`` of them."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy("block").collect()
+    return merkle([b"".join((r["block"].to_bytes(4, "little"), r["n_docs"].to_bytes(8, "little"), r["n_tokens"].to_bytes(8, "little"), bytes(r["root"]))) for r in rows]).hex()
+
 
-    done = spark.read.parquet(f"{path}/recipes").select("block", "local_start", "n_tokens", "root")
-    done.groupBy("block").applyInArrow(rooted, "block int, n_docs long, n_tokens long, root binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+def verify_manifest(spark: SparkSession, path: str, root: str | None = None) -> None:
+    """An error unless digests give the recipes' roots, these the manifest's rows, each once, and these the ``root``."""
+    columns = ["block", "local_start", "n_tokens", "root"]
+
+    def run(batches):
+        for batch in batches:
+            for name, leaves, ends, n in zip(batch["root"].to_pylist(), batch["digests"].to_pylist(), batch["ends"].to_pylist(), batch["n_tokens"].to_pylist()):
+                if merkle(leaves) != name or len(ends) != len(leaves) or ends[-1] != n or any(i >= j for i, j in zip(ends, ends[1:])):
+                    raise ValueError("a recipe's digests don't have its root")
+            yield batch.select(columns)
+
+    written = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    recipes = spark.read.parquet(f"{path}/recipes").select(*columns, "digests", "ends")
+    found = block_roots(recipes.mapInArrow(run, "block int, local_start long, n_tokens long, root binary"))
+    wrong = written.exceptAll(found).unionByName(found.exceptAll(written)).select("block").distinct().orderBy("block").limit(5).collect()
+    if wrong:
+        raise ValueError(f"recipes and manifest differ in blocks {[r['block'] for r in wrong]}")
+    if root is not None and store_root(spark, path) != root:
+        raise ValueError("the manifest doesn't have the store's root")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -201,15 +246,32 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/recipes").join(F.broadcast(offsets), "block").withColumn("start", F.col("block_start") + F.col("local_start"))
 
 
+def verified_recipes(spark: SparkSession, path: str, root: str | None) -> DataFrame:
+    verify_manifest(spark, path, root)
+    return read_recipes(spark, path)
+
+
 def occurrences(recipes: DataFrame) -> DataFrame:
-    """A row for each chunk of each document."""
-    pieces = F.arrays_zip(F.col("digests").alias("digest"), F.col("ends").alias("end"))
-    return recipes.select("doc_id", ROW_ID, "start", "n_tokens", "width", F.explode(pieces).alias("piece")).select("doc_id", ROW_ID, "start", "n_tokens", "width", "piece.digest", "piece.end")
+    """A row for each chunk of each document, with the ids that the recipe gives it."""
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.slice("ends", 1, F.size("ends") - 1))
+    pieces = F.arrays_zip(F.col("digests").alias("digest"), F.col("ends").alias("end"), starts.alias("from"))
+    own = ["doc_id", ROW_ID, "start", "n_tokens", "width"]
+    return recipes.select(*own, F.explode(pieces).alias("piece")).select(*own, "piece.digest", "piece.end", (F.col("piece.end") - F.col("piece.from")).alias("need"))
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, row_id, start, ids ARRAY<LONG>) rebuilt from the store."""
-    chunks = read_chunks(spark, path)
+def with_chunks(recipes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Occurrences with the columns of chunks(digest, n, ...); one that isn't there, or has another length, is an error.
+
+    A chunk that very many documents hold is dealt over the tasks.
+    """
+    found = lookup(occurrences(recipes), chunks.withColumn("there", F.lit(True)), "digest")
+    lost = F.concat(F.lit("the store has no chunk "), F.hex("digest"), F.lit(" of "), F.col("need").cast("string"), F.lit(" ids"))
+    sound = F.coalesce("there", F.lit(False)) & (F.col("n") == F.col("need"))
+    return found.withColumn("end", F.when(sound, F.col("end")).otherwise(F.raise_error(lost))).drop("there", "need")
+
+
+def read_ids(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """(doc_id, row_id, start, ids ARRAY<LONG>) rebuilt from the store, and verified."""
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("end")
@@ -217,33 +279,37 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         if any(digest(p) != d for p, d in zip(table["payload"].to_pylist(), table["digest"].to_pylist())):
             raise ValueError("a chunk's payload doesn't match its digest")
         ids = np.frombuffer(b"".join(table["payload"].to_pylist()), kind).astype(np.int64)
+        if len(ids) != table["n_tokens"][0].as_py():
+            raise ValueError("a document doesn't have its ids")
         return pa.table({"doc_id": table["doc_id"][:1], ROW_ID: table[ROW_ID][:1], "start": table["start"][:1], "ids": pa.array([ids], pa.list_(pa.int64()))})
 
-    joined = occurrences(read_recipes(spark, path)).join(chunks.select("digest", "payload"), "digest")
+    joined = with_chunks(verified_recipes(spark, path, root), read_chunks(spark, path))
     return joined.groupBy(ROW_ID).applyInArrow(build, f"doc_id long, {ROW_ID} long, start long, ids array<long>")
 
 
-def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, verified) from the store's files.
+def read_digests(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) from the store's files, verified up to the manifest.
 
     Every chunk's payload is read once, checked against its digest and reduced to its CRC-32;
     a document's is put together from its chunks', so that payloads don't move again.
     ids_crc32 takes ids as little-endian unsigned 32-bit integers.
     """
 
-    @F.pandas_udf("struct<chunk_crc:long,sound:boolean>")
-    def checked(payload: pd.Series, name: pd.Series, n: pd.Series) -> pd.DataFrame:
-        crcs, sound = [], []
+    @F.pandas_udf("long")
+    def checked(payload: pd.Series, name: pd.Series, n: pd.Series) -> pd.Series:
+        crcs = []
         for p, d, k in zip(payload, name, n):
+            if digest(p) != d:
+                raise ValueError("a chunk's payload doesn't match its digest")
             crcs.append(zlib.crc32(np.frombuffer(p, f"<u{len(p) // k}").astype("<u4").tobytes()))
-            sound.append(digest(p) == d)
-        return pd.DataFrame({"chunk_crc": crcs, "sound": sound})
+        return pd.Series(crcs, dtype="int64")
 
     @F.pandas_udf("long")
     def part(crc: pd.Series, tail: pd.Series) -> pd.Series:
         return pd.Series(shifted_crc(crc.to_numpy(), 4 * tail.to_numpy()).astype(np.int64))
 
-    found = read_chunks(spark, path).select("digest", "n", checked("payload", "digest", "n").alias("c")).select("digest", "n", "c.*")
-    joined = occurrences(read_recipes(spark, path)).join(found, "digest").withColumn("part", part("chunk_crc", F.col("n_tokens") - F.col("end")))
-    whole = joined.groupBy(ROW_ID, "doc_id", "start", "n_tokens").agg(F.bit_xor("part").alias("ids_crc32"), F.sum("n").alias("n_read"), F.bool_and("sound").alias("sound"))
-    return whole.select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("sound") & (F.col("n_read") == F.col("n_tokens"))).alias("verified"))
+    # Not computed again for every read of the few columns.
+    found = Scratch(spark, "token-store-chunks").keep(read_chunks(spark, path).select("digest", "n", checked("payload", "digest", "n").alias("chunk_crc")), "chunks")
+    joined = with_chunks(verified_recipes(spark, path, root), found).withColumn("part", part("chunk_crc", F.col("n_tokens") - F.col("end")))
+    whole = joined.groupBy(ROW_ID, "doc_id", "start", "n_tokens").agg(F.bit_xor("part").alias("ids_crc32"))
+    return whole.select("doc_id", "start", "n_tokens", "ids_crc32")
