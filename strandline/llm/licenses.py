@@ -68,15 +68,18 @@ def split_points(words: str, parts: int) -> list[tuple[int, str]]:
     return [(i, words[i:j]) for i, j in zip(edges, edges[1:])]
 
 
-def all_matches(pattern: regex.Pattern, text: str, low: int, high: int):
-    """The best match, then those before and after it, until no match is left."""
-    parts = [(low, high)]
-    while parts:
-        i, j = parts.pop()
-        found = pattern.search(text, i, j)
-        if found:
-            yield found
-            parts += [(i, found.start()), (found.end(), j)]
+def slack(notice: Notice) -> int:
+    """Characters a copy can begin before the best one that it overlaps, with its own edits on top."""
+    return 3 * notice.edits + 1
+
+
+def all_matches(first: regex.Pattern, best: regex.Pattern, text: str, low: int, high: int, size: int):
+    """From left to right: where a match starts, the best one in the next ``size`` characters."""
+    while low < high and (found := first.search(text, low, high)):
+        at = found.start()
+        found = best.search(text, at, min(high, at + size)) or found
+        yield found
+        low = max(found.end(), at + 1)
 
 
 class Scanner:
@@ -85,12 +88,15 @@ class Scanner:
         self.tree = ahocorasick.Automaton()
         seeds: dict[str, list[tuple[int, int]]] = {}
         for n, notice in enumerate(notices):
+            if len(notice.words) <= 2 * slack(notice) + notice.edits:
+                raise ValueError(f"too many edits for a notice of this length: {notice}")
             for at, seed in split_points(notice.words, notice.edits + 1):
                 seeds.setdefault(seed, []).append((n, at))
         for seed, uses in seeds.items():
             self.tree.add_word(seed, (len(seed), uses))
         self.tree.make_automaton()
-        self.match = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n.words)}){{e<={n.edits}}}(?![^ ])") for n in notices]
+        fuzzy = [rf"(?<![^ ])(?:{regex.escape(n.words)}){{e<={n.edits}}}(?![^ ])" for n in notices]
+        self.first, self.match = [regex.compile(f) for f in fuzzy], [regex.compile("(?b)" + f) for f in fuzzy]
 
     def exact(self, joined: bytes) -> list[tuple[str, int]]:
         """(label, start word) of every place where a phrase's words stand."""
@@ -111,26 +117,27 @@ class Scanner:
 
     def fuzzy(self, text: str) -> list[Span]:
         """Notices in a normalised text (words with a space before, between and after)."""
-        stretches: dict[int, list[list[int]]] = {}
+        windows: dict[int, list[tuple[int, int]]] = {}
         for end, (size, uses) in self.tree.iter(text):
             for n, at in uses:
                 notice = self.notices[n]
-                low = max(0, end + 1 - size - at - notice.edits - 1)
-                high = min(len(text), end + 1 - size - at + len(notice.words) + notice.edits + 1)
-                runs = stretches.setdefault(n, [])
-                if runs and low <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], high)
-                else:
-                    runs.append([low, high])
+                start = end + 1 - size - at
+                windows.setdefault(n, []).append((max(0, start - notice.edits - 1), min(len(text), start + len(notice.words) + notice.edits + 1)))
         spans = []
-        for n, runs in stretches.items():
-            runs.sort()
-            after = 0
-            for low, high in runs:
-                for m in all_matches(self.match[n], text, max(low, after), high):
-                    after = max(after, m.end())
-                    first = text.count(" ", 0, m.start() + (text[m.start()] == " ")) - 1
-                    spans.append(Span(self.notices[n].label, first, first + m.group().strip().count(" "), sum(m.fuzzy_counts), len(self.notices[n].words)))
+        for n, some in windows.items():
+            notice, stretches = self.notices[n], []
+            for low, high in sorted(some):
+                if stretches and low <= stretches[-1][1]:
+                    stretches[-1][1] = max(stretches[-1][1], high)
+                else:
+                    stretches.append([low, high])
+            size, counted, spaces = len(notice.words) + slack(notice), 0, 0
+            for low, high in stretches:
+                for m in all_matches(self.first[n], self.match[n], text, low, high, size):
+                    start = m.start() + (text[m.start()] == " ")
+                    spaces += text.count(" ", counted, start)
+                    counted = start
+                    spans.append(Span(notice.label, spaces - 1, spaces - 1 + m.group().strip().count(" "), sum(m.fuzzy_counts), len(notice.words)))
         return sorted(spans, key=lambda s: (s.first_word, s.label))
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int]], list[Span]]:

@@ -292,6 +292,67 @@ def test_less_exact_copies_beside_a_better_one_are_found():
     ):
         spans = [s for s in scanner.fuzzy(text) if s.label == scanner.fuzzy(" all rights reserved ")[0].label]
         assert [(s.first_word, s.last_word, s.edits) for s in spans] == [(3 * k, 3 * k + 2, e) for k, e in enumerate(edits)]
+    both = scanner.fuzzy(" released under teh mit license released under the mit license ")
+    assert [(s.first_word, s.edits) for s in both if s.label == "mit"] == [(0, 2), (5, 0)]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def brute_spans(words, notice):
+    """(first word, edits) by trying every run of words, from left to right."""
+    starts = np.r_[0, np.cumsum([len(w) + 1 for w in words])]
+
+    def copies(i):
+        for j in range(i, len(words)):
+            run = " ".join(words[i : j + 1])
+            if len(run) > len(notice.words) + notice.edits:
+                return
+            if len(run) >= len(notice.words) - notice.edits and (d := distance(run, notice.words)) <= notice.edits:
+                yield d, i, j
+
+    found, at = [], 0
+    while at < len(words):
+        if any(copies(at)):
+            reach = starts[at] + len(notice.words) + licenses.slack(notice)
+            near = [c for i in range(at, len(words)) if starts[i] < reach for c in copies(i) if starts[c[2] + 1] - 1 <= reach]
+            edits, first, last = min(near, default=next(copies(at)))
+            found.append((first, edits))
+            at = last + 1
+        else:
+            at += 1
+    return found
+
+
+def test_spans_equal_a_search_over_all_runs_of_words(draw):
+    notices = (licenses.Notice("one", "all rights reserved", 1), licenses.Notice("two", "released under the mit license", 3))
+    scanner = licenses.Scanner(notices)
+    letters = list("aders l")
+    for _ in range(120):
+        text = ""
+        for _ in range(int(draw.integers(1, 5))):
+            notice = notices[int(draw.integers(2))]
+            some = list(notice.words)
+            for _ in range(int(draw.integers(0, notice.edits + 2))):
+                at, how = int(draw.integers(len(some))), int(draw.integers(3))
+                some[at : at + (how != 0)] = [] if how == 1 else [str(draw.choice(letters))]
+            text += "".join(some) + draw.choice([" ", " the ", " rights ", " x y z "])
+        words = text.split()
+        spans = scanner.fuzzy(f" {' '.join(words)} ")
+        for notice in notices:
+            assert [(s.first_word, s.edits) for s in spans if s.label == notice.label] == brute_spans(words, notice), (notice.label, words)
+
+
+def test_a_text_full_of_notices_is_searched_in_proportion():
+    scanner, text = licenses.scanner(), " all rights reservd" * 20_000 + " "
+    spans = scanner.fuzzy(text)
+    assert [s.first_word for s in spans] == list(range(0, 60_000, 3))
 
 
 # --- main text
