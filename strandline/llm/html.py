@@ -18,6 +18,7 @@ from __future__ import annotations
 import html as references
 import re
 import zlib
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 from .common import per_slice
 
 #: Elements by their place in HTML: fixed values of the language.
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select xmp noembed noframes".split())
+#: Their content is text up to the end tag, whatever it holds.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Their content isn't text of the page; they nest, and without an end tag they are passed over alone.
+APART = frozenset("noscript template svg math object canvas select".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()
@@ -37,8 +41,10 @@ INLINE = frozenset(
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("table ul ol dl td th div article section main body aside nav header footer form blockquote figure".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+#: Quotes hold a value only right after the equals sign; anywhere else they are letters like others.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)", re.DOTALL)
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
+NAMING = frozenset({"class", "id", "role"})
 WORDS = re.compile(r"[a-z]+")
 #: Words in class, id and role that say what isn't main text, and what is.
 OUTSIDE = frozenset(
@@ -53,8 +59,11 @@ WIDTH, UNITS, VECTOR = 4096, 24, 16
 #: Pages that train the labeller, and pages put together besides.
 SAMPLE, COMPOSED = 300, 500
 #: Blocks of a page read at once; a longer page is read in stretches, which bound memory and not what a
-#: block's label sees. A page teaches with its first stretch.
+#: block's label sees.
 STRETCH = 512
+#: What a page teaches with: so many neighbouring blocks, from a place that its hash gives, and so many
+#: characters of each. These bound the sample on the driver, not what is extracted.
+TAUGHT, TAUGHT_CHARS = 256, 1_000
 
 
 class Block(NamedTuple):
@@ -63,6 +72,28 @@ class Block(NamedTuple):
     links: int  # characters inside links
 
 
+@lru_cache(maxsize=64)
+def end_tag(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE)
+
+
+@lru_cache(maxsize=64)
+def any_tag(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){name}(?=[\s/>])((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)>", re.IGNORECASE)
+
+
+def element_ends(page: str, name: str) -> dict[int, int]:
+    """Where each element of that name ends, by the end of its first tag; those never closed aren't there."""
+    opened, ends = [], {}
+    for tag in any_tag(name).finditer(page):
+        if tag[1]:
+            if opened:
+                ends[opened.pop()] = tag.end()
+        elif not tag[2].endswith("/"):
+            opened.append(tag.end())
+    return ends
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order: white space is one space, ends are trimmed, none is empty."""
     page = page or ""
@@ -70,6 +101,8 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
     in_link, links, at = 0, 0, 0
+    apart: dict[str, dict[int, int]] = {}
+    without_end: set[str] = set()
 
     def close_block():
         nonlocal links
@@ -109,8 +142,17 @@ def blocks(page: str | None) -> list[Block]:
                 close_block()
             continue
         if name in RAW and not closing:
-            end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+            end = end_tag(name).search(page, at) if name not in without_end else None
+            if end is None:
+                without_end.add(name)
+            # An unfinished script shows nothing; one closed in its own tag shows what follows.
+            at = end.end() if end else at if match[2].endswith("/") else len(page)
+            continue
+        if name in APART:
+            if not closing and not match[2].endswith("/"):
+                if name not in apart:
+                    apart[name] = element_ends(page, name)
+                at = apart[name].get(at, at)
             continue
         if name in INLINE:
             if name == "a":
@@ -134,7 +176,8 @@ def blocks(page: str | None) -> list[Block]:
                 break
         names = []
         for kind, *values in ATTRIBUTE.findall(match[2] or ""):
-            names += dict.fromkeys(f".{w}" for w in WORDS.findall("".join(values).lower()))
+            if kind.lower() in NAMING:
+                names += dict.fromkeys(f".{w}" for w in WORDS.findall("".join(values).lower()))
         stack.append((name, tuple(names)))
     close_block()
     return found
@@ -313,14 +356,14 @@ def gradient(net: Labeller, pages: list[Hashed], labels: list[np.ndarray]) -> tu
 def train(pages: list[list[Block]], labels: list[np.ndarray], seed: int = 5, rounds: int = 6, lanes: int = 16, rate: float = 0.02) -> Labeller:
     draw = np.random.default_rng(seed)
     net, known = fresh(seed), {}
-    ready = [hashed(page[:STRETCH], known) for page in pages]
+    ready = [hashed(page, known) for page in pages]
     m, v = [np.zeros_like(w) for w in net], [np.zeros_like(w) for w in net]
     step, total = 0, rounds * -(-len(ready) // lanes)
     for _ in range(rounds):
         order = draw.permutation(len(ready))
         for at in range(0, len(order), lanes):
             some = order[at : at + lanes]
-            _, grads = gradient(net, [ready[i] for i in some], [labels[i][:STRETCH] for i in some])
+            _, grads = gradient(net, [ready[i] for i in some], [labels[i] for i in some])
             step += 1
             for w, g, a, b in zip(net, grads, m, v):
                 a *= 0.9
@@ -383,18 +426,39 @@ def composed(draw: np.random.Generator, main: list[str], other: list[str]) -> tu
     return [b for b, _ in page], np.array([y for _, y in page], np.float32)
 
 
-def fit(pages: DataFrame, sample: int = SAMPLE, extra: int = COMPOSED, longest: int = 200_000, seed: int = 5) -> Labeller | None:
-    """Train on at most ``sample`` pages(page_id, html), by hash; pages of over ``longest`` characters don't teach."""
-    # About twice the sample by hash: else every task would send a whole sample of pages to the driver.
+def teaching_blocks(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(place, blocks) of about ``sample`` to twice as many pages(page_id, html): neighbouring blocks with their labels."""
     chance = min(1.0, 2 * sample / max(1, pages.count()))
     place = F.xxhash64(F.col("page_id").cast("long"), F.col("html").cast("string"))
-    rows = pages.select(F.col("html").cast("string").alias("html"), place.alias("place")).where(F.pmod("place", F.lit(1_000_000)) < int(1_000_000 * chance) + 1)
-    rows = rows.where(F.col("html").isNotNull() & (F.length("html") <= longest))
-    found = [r["html"] for r in rows.orderBy("place", "html").limit(sample).collect()]
-    cut = [some for some in map(blocks, found) if some]
-    if not cut:
+    rows = pages.select(F.col("html").cast("string").alias("html"), place.alias("place")).where(F.col("html").isNotNull())
+    kind = pa.list_(pa.struct([("path", pa.list_(pa.string())), ("text", pa.string()), ("links", pa.int32()), ("label", pa.float32())]))
+    schema = pa.schema([("place", pa.int64()), ("blocks", kind)])
+
+    def run(batch):
+        out = []
+        for html, key in zip(batch["html"].to_pylist(), batch["place"].to_pylist()):
+            found = blocks(html)
+            at = key % max(1, len(found) - TAUGHT + 1)
+            out.append([
+                {"path": b.path, "text": b.text[:TAUGHT_CHARS], "links": min(b.links, TAUGHT_CHARS), "label": teacher(b)} for b in found[at : at + TAUGHT]
+            ])
+        return {"place": batch["place"], "blocks": out}
+
+    # By hash first: else every task would send a whole sample of pages to the driver.
+    some = rows.where(F.pmod("place", F.lit(1_000_000)) < int(1_000_000 * chance) + 1)
+    return some.mapInArrow(per_slice(run, schema, 16), "place long, blocks array<struct<path:array<string>,text:string,links:int,label:float>>").where(F.size("blocks") > 0)
+
+
+def fit(pages: DataFrame, sample: int = SAMPLE, extra: int = COMPOSED, seed: int = 5) -> Labeller | None:
+    """Train on at most ``sample`` pages(page_id, html), by hash, of any length; None where no page has a block."""
+    found = teaching_blocks(pages, sample).orderBy("place", F.to_json("blocks")).limit(sample).collect()
+    if not found:
+        # A sample by hash can miss the few pages that have a block.
+        found = teaching_blocks(pages, 1 << 62).orderBy("place", F.to_json("blocks")).limit(sample).collect()
+    if not found:
         return None
-    labels = [np.array([teacher(b) for b in some], np.float32) for some in cut]
+    cut = [[Block(tuple(b["path"]), b["text"], b["links"]) for b in r["blocks"]] for r in found]
+    labels = [np.array([b["label"] for b in r["blocks"]], np.float32) for r in found]
     main = [b.text for some, y in zip(cut, labels) for b, k in zip(some, y) if k] or ["text"]
     other = [b.text for some, y in zip(cut, labels) for b, k in zip(some, y) if not k] or ["menu"]
     # Comments and notices look like prose: half of what isn't main text is taken from it.
