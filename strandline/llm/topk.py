@@ -1,11 +1,13 @@
 """Exact top-k search by inner product with the three-phase uniform threshold.
 
-Vectors are cut into a few dimension slices; within a tile (a shard of candidates against a block
-of queries) the products of one slice are that slice's score list. Phase 1 gathers the heads of
-the lists with their full scores; the k-th best of them over all tiles is a safe cutoff for a
-query. Phase 2 sends the cutoffs back with the queries: a total of at least the cutoff needs some
-slice with at least its uniform share, so only such entries are collected. Phase 3 adds their
-remaining slices exactly. Heads are merged up a tree of bounded fan-in.
+Vectors are cut into a few dimension slices; a tile is a shard of candidates against a block of
+queries, and the products of one slice in it are that slice's score list. Phase 1 gathers local lists
+of the best scores of every query from a share of the candidates, dealt by hash; the k-th best of
+them, merged, is a safe cutoff. Phase 2 sends the cutoffs with the queries to all tiles: a total of at
+least the cutoff needs some slice with at least its uniform share, so only such entries are
+collected. Phase 3 adds their remaining slices exactly. So every product of a query and a candidate
+is taken once, but for the share of phase 1. A block whose queries can't reach their cutoffs by the
+norms in a shard is passed over. Heads are merged up a tree of bounded fan-in.
 
 Defined cases: rows with a null id or a vector that is null, empty or holds a null or non-finite
 component take no part; candidates of another length than the query's aren't compared with it;
@@ -45,84 +47,100 @@ def matrix(table: pa.Table) -> np.ndarray:
     return np.asarray(values.flatten()).reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 1), np.int64)
 
 
-def products(queries: np.ndarray, rows: np.ndarray, slices: int) -> list[np.ndarray]:
-    """The score list of each slice; exact, in doubles where they can't round, else in Python's integers."""
-    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * queries.shape[1]
-    kind = np.float64 if largest < 2**53 else object
-    cuts = np.array_split(np.arange(queries.shape[1]), min(slices, queries.shape[1]))
-    return [queries[:, c].astype(kind) @ rows[:, c].astype(kind).T for c in cuts]
+def exact_kind(queries: np.ndarray, rows: np.ndarray):
+    """The narrowest numbers in which no sum of products rounds: by Cauchy and Schwarz none exceeds the product of the norms."""
+    longest = lambda some: math.sqrt(float((some.astype(np.float64) ** 2).sum(1).max(initial=0)))
+    most = longest(queries) * longest(rows) * (1 + 1e-9)
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
 
 
-def blank_own(total: np.ndarray, query_rows: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """True where a candidate may count: everywhere but at the query's own row."""
-    allowed = np.ones(total.shape, bool)
-    order = np.argsort(rows)
-    at = np.searchsorted(rows[order], query_rows)
-    hit = np.flatnonzero((at < len(rows)) & (rows[order[np.minimum(at, len(rows) - 1)]] == query_rows)) if len(rows) else np.zeros(0, int)
-    allowed[hit, order[at[hit]]] = False
-    return allowed
+def score_lists(queries: pa.Table, rows: pa.Table, slices: int, lanes: int = 256):
+    """For each length of vectors and ``lanes`` queries at a time: these queries, the candidates, and the products by slice."""
+    for n in sorted(set(queries["n"].to_pylist()) & set(rows["n"].to_pylist())):
+        some, against = queries.filter(pc.equal(queries["n"], n)), rows.filter(pc.equal(rows["n"], n))
+        left, right = matrix(some), matrix(against)
+        kind = exact_kind(left, right)
+        cuts = np.array_split(np.arange(n), min(slices, n))
+        columns = [np.ascontiguousarray(right[:, c].T.astype(kind)) for c in cuts]
+        for at in range(0, len(left), lanes):
+            yield some.slice(at, lanes), against, [left[at : at + lanes, c].astype(kind) @ col for c, col in zip(cuts, columns)]
 
 
-def by_length(queries: pa.Table, rows: pa.Table):
-    """Pairs of tables whose vectors have one length."""
-    for n in set(queries["n"].to_pylist()) & set(rows["n"].to_pylist()):
-        yield queries.filter(pc.equal(queries["n"], n)), rows.filter(pc.equal(rows["n"], n))
+def head_lists(at: np.ndarray, columns: list[np.ndarray], lanes: int, k: int):
+    """Entries in order of (query, columns), the first k of each query, and where each query's begin."""
+    order = np.lexsort((*reversed(columns), at))
+    at = at[order]
+    starts = np.searchsorted(at, np.arange(lanes + 1))
+    keep = np.arange(len(at)) - starts[at] < k
+    counts = np.minimum(np.diff(starts), k)
+    return order[keep], np.r_[0, np.cumsum(counts)]
 
 
-def clipped(score) -> int:
-    return max(LONG.min, min(LONG.max, int(score)))
+def longs(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object:
+        return np.array([max(LONG.min, min(LONG.max, int(x))) for x in scores], np.int64)
+    return scores.astype(np.int64)
+
+
+def listed(offsets: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def shard_of(rows: pa.Table, count: int) -> pa.Array:
+    return pa.array(np.full(count, rows["shard"][0].as_py(), np.int64))
 
 
 def phase_one(k: int, slices: int):
-    """Heads of each slice's list, with their full scores."""
+    """Each query's local list: its k best scores among the tile's candidates."""
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        q, shard, heads = [], [], []
-        for some, against in by_length(queries, rows) if queries.num_rows and rows.num_rows else ():
-            parts = products(matrix(some), matrix(against), slices)
+        out = []
+        for some, against, parts in score_lists(queries, rows, slices) if queries.num_rows and rows.num_rows else ():
             total = sum(parts)
-            own = np.asarray(some[ROW_ID])
-            allowed = blank_own(total, own, np.asarray(against[ROW_ID]))
-            head = np.zeros(total.shape, bool)
-            for part in parts:
-                ranked = np.where(allowed, part, -np.inf).astype(float)
-                some_k = min(k, ranked.shape[1])
-                np.put_along_axis(head, np.argpartition(-ranked, some_k - 1, axis=1)[:, :some_k], True, axis=1)
-            head &= allowed
-            for i in range(len(own)):
-                q.append(own[i])
-                shard.append(against["shard"][0].as_py())
-                heads.append(sorted((clipped(x) for x in total[i][head[i]]), reverse=True)[:k])
-        return pa.table({"q": pa.array(q, pa.int64()), "shard": pa.array(shard, pa.int64()), "head": pa.array(heads, pa.list_(pa.int64()))}, schema=HEADS)
+            own, row_ids, lanes = np.asarray(some[ROW_ID]), np.asarray(against[ROW_ID]), some.num_rows
+            best = min(k + 1, total.shape[1])
+            # The query's own row may be among the best, hence one more.
+            ranked = -total if total.dtype != object else np.array([[-x for x in row] for row in total], object)
+            cols = np.argpartition(ranked, best - 1, axis=1)[:, :best] if total.dtype != object else np.argsort(ranked, axis=1)[:, :best]
+            at, col = np.repeat(np.arange(lanes), best), cols.ravel()
+            other = own[at] != row_ids[col]
+            at, scores = at[other], longs(total[at[other], col[other]])
+            order, offsets = head_lists(at, [-np.maximum(scores, LONG.min + 1)], lanes, k)
+            out.append(pa.Table.from_arrays([pa.array(own), shard_of(rows, lanes), listed(offsets, pa.array(scores[order]))], schema=HEADS))
+        return pa.concat_tables(out) if out else HEADS.empty_table()
 
     return run
 
 
 def phase_three(k: int, slices: int):
-    """Entries with a slice at or above the uniform share of the cutoff, resolved exactly."""
+    """Entries with a slice at or above the uniform share of the cutoff, their other slices added exactly."""
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        q, shard, heads = [], [], []
-        for some, against in by_length(queries, rows) if queries.num_rows and rows.num_rows else ():
-            parts = products(matrix(some), matrix(against), slices)
-            own, ids, row_ids = np.asarray(some[ROW_ID]), np.asarray(against["vec_id"]), np.asarray(against[ROW_ID])
-            cutoff = np.array([-math.inf if c is None else c for c in some["cutoff"].to_pylist()])
-            # A cutoff rounded to a double must not rise above the exact one.
-            share = np.nextafter(cutoff / len(parts), -np.inf)[:, None]
+        out = []
+        if queries.num_rows and rows.num_rows:
+            # The longest candidate can't lift a query whose norm is too small over its cutoff.
+            reach = np.asarray(queries["norm"]) * pc.max(rows["norm"]).as_py() * (1 + 1e-9)
+            queries = queries.filter(pa.array(~(np.asarray(queries["cutoff"].fill_null(LONG.min)).astype(float) > reach)))
+        for some, against, parts in score_lists(queries, rows, slices) if queries.num_rows and rows.num_rows else ():
+            own, ids, row_ids, lanes = np.asarray(some[ROW_ID]), np.asarray(against["vec_id"]), np.asarray(against[ROW_ID]), some.num_rows
+            cutoff = some["cutoff"].to_pylist()
+            # Without a cutoff, or with one that was clipped, everything is sufficient.
+            share = np.array([-math.inf if c is None or c == LONG.min else c // len(parts) for c in cutoff], parts[0].dtype)[:, None]
             enough = parts[0] >= share
             for part in parts[1:]:
                 enough |= part >= share
-            enough &= blank_own(enough, own, row_ids)
-            for i in range(len(own)):
-                at = np.flatnonzero(enough[i])
-                total = sum(part[i, at] for part in parts)
-                at, total = (at[keep], total[keep]) if len(at) and (keep := total >= cutoff[i]).any() else (at[:0], total[:0] if len(at) else [])
-                best = sorted((-clipped(s), int(ids[j]), int(row_ids[j])) for s, j in zip(total, at))[:k]
-                if best:
-                    q.append(own[i])
-                    shard.append(against["shard"][0].as_py())
-                    heads.append([{"neg": n, "id": j, "row": r} for n, j, r in best])
-        return pa.table({"q": pa.array(q, pa.int64()), "shard": pa.array(shard, pa.int64()), "head": pa.array(heads, FOUND.field("head").type)}, schema=FOUND)
+            at, col = np.nonzero(enough)
+            total = parts[0][at, col]
+            for part in parts[1:]:
+                total = total + part[at, col]
+            least = np.array([-math.inf if c is None or c == LONG.min else c for c in cutoff], total.dtype if total.dtype == object else float)
+            kept = np.flatnonzero((total >= least[at]) & (own[at] != row_ids[col]))
+            at, col, scores = at[kept], col[kept], longs(total[kept])
+            negative = -np.maximum(scores, LONG.min + 1)
+            order, offsets = head_lists(at, [negative, ids[col], row_ids[col]], lanes, k)
+            entries = pa.StructArray.from_arrays([pa.array(negative[order]), pa.array(ids[col][order]), pa.array(row_ids[col][order])], fields=list(FOUND.field("head").type.value_type))
+            out.append(pa.Table.from_arrays([pa.array(own), shard_of(rows, lanes), listed(offsets, entries)], schema=FOUND))
+        return pa.concat_tables(out) if out else FOUND.empty_table()
 
     return run
 
@@ -140,30 +158,40 @@ def merged(heads: DataFrame, k: int, shards: int, ascending: bool) -> DataFrame:
 
 def exact_top_k(
     vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding",
-    slices: int = 4, shard_rows: int = 2048, block_rows: int = 1024,
+    slices: int = 2, shard_rows: int = 8192, block_rows: int = 2048, probe: int = 32,
 ) -> DataFrame:
     """(query_id, rank from 1, vec_id, score) of the k best candidates of each query.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but the
-    query's own; ties go to the smaller id. ``shard_rows`` and ``block_rows`` bound a tile.
+    query's own; ties go to the smaller id. ``shard_rows`` and ``block_rows`` bound a tile; one
+    candidate in ``probe`` gives the cutoffs.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
-    rows = scratch.keep(quantised(vectors, id_col, vector_col, scale), "vectors").withColumn("n", F.size("v"))
-    is_query = F.col("vec_id") % every == 0
-    n_rows, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    shards, blocks = max(1, math.ceil(n_rows / shard_rows)), max(1, math.ceil(n_queries / block_rows))
+    rows = scratch.keep(quantised(vectors, id_col, vector_col, scale), "vectors")
+    is_query, v = F.col("vec_id") % every == 0, F.col("v")
+    n_rows, n_queries, low, high = rows.agg(F.count("*"), F.count_if(is_query), F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
+    # The narrowest components that hold them all, as they go to every block of queries.
+    narrow = next((name for name, bits in (("smallint", 15), ("int", 31)) if n_rows and -(1 << bits) <= low and high < 1 << bits), "bigint")
+    norm = F.sqrt(F.aggregate(F.transform(v, lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x * x))
+    rows = rows.withColumns({"n": F.size("v"), "norm": norm, "v": v.cast(f"array<{narrow}>")})
     dealt = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), ROW_ID), F.lit(n))
     every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    candidates = rows.withColumn("shard", dealt(shards, 1)).withColumn("block", every_one(blocks))
-    queries = rows.where(is_query).withColumn("block", dealt(blocks, 2))
+    blocks = max(1, math.ceil(n_queries / block_rows))
     # New names for the columns: both sides come from one table, and a cogroup needs them apart.
     apart = lambda some: some.select(*[(F.col(c) + 0 if c != "v" else F.slice("v", 1, F.size("v"))).alias(c) for c in some.columns])
-    tiles = lambda some: apart(some.withColumn("shard", every_one(shards))).groupBy("shard", "block").cogroup(candidates.groupBy("shard", "block"))
-    heads = tiles(queries).applyInArrow(phase_one(k, slices), "q long, shard long, head array<long>")
-    cutoffs = merged(heads, k, shards, ascending=False).select(F.col("q").alias(ROW_ID), F.get("head", F.lit(k - 1)).alias("cutoff"))
+
+    def tiles(some: DataFrame, against: DataFrame, shards: int):
+        right = against.withColumn("shard", dealt(shards, 1)).withColumn("block", every_one(blocks))
+        return apart(some.withColumn("shard", every_one(shards))).groupBy("shard", "block").cogroup(right.groupBy("shard", "block"))
+
+    queries = rows.where(is_query).withColumn("block", dealt(blocks, 2))
+    probed, few = rows.where(dealt(probe, 3) == 0), max(1, math.ceil(n_rows / probe / shard_rows))
+    heads = tiles(queries, probed, few).applyInArrow(phase_one(k, slices), "q long, shard long, head array<long>")
+    cutoffs = merged(heads, k, few, ascending=False).select(F.col("q").alias(ROW_ID), F.get("head", F.lit(k - 1)).alias("cutoff"))
     informed = scratch.keep(queries.join(cutoffs, ROW_ID, "left"), "queries")
-    found = tiles(informed).applyInArrow(phase_three(k, slices), "q long, shard long, head array<struct<neg:long,id:long,row:long>>")
+    shards = max(1, math.ceil(n_rows / shard_rows))
+    found = tiles(informed, rows, shards).applyInArrow(phase_three(k, slices), "q long, shard long, head array<struct<neg:long,id:long,row:long>>")
     best = merged(found, k, shards, ascending=True).withColumnRenamed("q", ROW_ID).join(informed.select(ROW_ID, F.col("vec_id").alias("query_id")), ROW_ID)
     ranked = best.select("query_id", F.posexplode("head").alias("at", "entry"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("entry.id").alias("vec_id"), (-F.col("entry.neg")).alias("score"))

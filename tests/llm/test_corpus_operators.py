@@ -515,8 +515,25 @@ def test_top_k_equals_brute_force(spark, draw):
     vectors = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int")
     plain = [r for r in rows if r[0] != 220]
     few = spark.createDataFrame([(*r, 1) for r in plain], "vec_id long, embedding array<double>, rank int")
-    for shard, block in ((2048, 1024), (7, 2)):
-        found = [tuple(r) for r in topk.exact_top_k(few, k=5, shard_rows=shard, block_rows=block).collect()]
+    for shard, block, probe in ((8192, 2048, 32), (7, 2, 3), (64, 3, 1)):
+        found = [tuple(r) for r in topk.exact_top_k(few, k=5, shard_rows=shard, block_rows=block, probe=probe).collect()]
         assert ordered(found) == ordered(brute_top(plain, 5, 20))
+    found = [tuple(r) for r in topk.exact_top_k(vectors, k=3, probe=2).where("query_id <> 220").collect()]
+    clip = lambda x: max(-(1 << 63) + 1, min((1 << 63) - 1, x))
+    assert ordered(found) == ordered((q, r, i, clip(x)) for q, r, i, x in brute_top(rows, 3, 20) if q != 220)
     assert topk.exact_top_k(vectors, k=3).where("query_id = 220").count() == 3
+
+
+def test_top_k_with_equal_and_zero_vectors_and_large_numbers(spark, draw):
+    rows = [(i, [0.5, -0.25]) for i in range(60)] + [(i, [0.0, 0.0]) for i in range(60, 90)] + [(i, [float(x) for x in 1e6 * draw.normal(size=2)]) for i in range(90, 150)]
+    for some in (rows, rows[:90], [(i, [-1.0, -1.0]) for i in range(30)] + [(40, [1.0, 1.0])]):
+        vectors = spark.createDataFrame(some, "vec_id long, embedding array<float>")
+        exact = [(i, [float(np.float32(x)) for x in v]) for i, v in some]
+        found = [tuple(r) for r in topk.exact_top_k(vectors, k=25, shard_rows=40, block_rows=2, probe=4).collect()]
+        assert ordered(found) == ordered(brute_top(exact, 25, 20))
+
+
+def test_top_k_of_nothing(spark):
+    vectors = spark.createDataFrame([(20, [1.0])], "vec_id long, embedding array<double>")
+    assert topk.exact_top_k(vectors).collect() == []
     assert topk.exact_top_k(vectors.limit(0)).collect() == []
