@@ -111,14 +111,49 @@ def test_weak_labels_separate_junk_from_prose(mixed):
     assert all(r.kept for r in found if r.good)
 
 
-def test_expectation_maximisation_finds_the_labellers_accuracies():
-    draw = np.random.default_rng(2)
-    good = draw.random(20_000) < 0.8
-    votes = np.stack([np.where(good, 1, np.where(draw.random(20_000) < p, -1, 1)) for p in (0.9, 0.8, 0.7, 0.85)], 1)
-    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+def drawn_votes(draw, n, share, on_good, on_bad):
+    """Votes of independent labellers with these accuracies on good and on bad documents, and which are good."""
+    good = draw.random(n) < share
+    right = np.where(good[:, None], draw.random((n, len(on_good))) < on_good, draw.random((n, len(on_bad))) < on_bad)
+    return np.where(right == good[:, None], 1, -1), good
+
+
+@pytest.mark.parametrize("share, on_good, on_bad", [
+    (0.8, (1.0, 1.0, 1.0, 1.0), (0.9, 0.8, 0.7, 0.85)),
+    (0.8, (0.9, 0.8, 0.7, 0.85, 0.75), (0.9, 0.8, 0.7, 0.85, 0.75)),
+    (0.3, (0.9, 0.8, 0.7, 0.85, 0.75), (0.75, 0.85, 0.9, 0.7, 0.8)),
+    (0.95, (0.95, 0.99, 0.9, 0.97, 0.92), (0.8, 0.7, 0.9, 0.85, 0.75)),
+])
+def test_expectation_maximisation_finds_the_labellers_accuracies(share, on_good, on_bad):
+    votes, good = drawn_votes(np.random.default_rng(2), 20_000, share, on_good, on_bad)
+    patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    model = quality.fit_votes(patterns.astype(float), counts.astype(float))
+    assert abs(model.prior - share) < 0.05
+    assert np.allclose(model.on_good, on_good, atol=0.05) and np.allclose(model.on_bad, on_bad, atol=0.08)
+    best = np.mean((model.posterior(patterns.astype(float))[which.ravel()] > 0.5) == good)
+    assert best > np.mean((votes.sum(1) > 0) == good) - 0.005  # no worse than the majority of votes
+
+
+def test_kinds_of_junk_and_a_labeller_that_misjudges_a_source():
+    draw, n = np.random.default_rng(3), 30_000
+    kind = draw.choice(4, size=n, p=[0.85, 0.06, 0.05, 0.04])
+    votes = np.ones((n, 7), int)
+    for k, labellers in enumerate([(0, 1), (2, 3), (1, 4, 5)], 1):
+        for j in labellers:
+            votes[(kind == k) & (draw.random(n) < 0.9), j] = -1
+    source = draw.random(n) < 0.3
+    votes[source, 6] = -1  # always wrong there
+    patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     model = quality.fit_votes(patterns.astype(float), counts.astype(float))
-    assert abs(model.prior - 0.8) < 0.05
-    assert np.allclose(1 - model.on_bad, [0.9, 0.8, 0.7, 0.85], atol=0.06)
+    kept = model.posterior(patterns.astype(float))[which.ravel()] > 0.5
+    assert abs(model.prior - 0.85) < 0.02 and abs(model.on_good[6] - 0.7) < 0.03
+    assert kept[(kind == 0) & source].mean() > 0.99 and kept[kind > 0].mean() < 0.15
+
+
+def test_votes_of_no_and_few_words_and_the_model_of_no_votes():
+    assert quality.votes(None) == quality.votes("") == quality.votes("De. Re.") == [0] * len(quality.LABELLERS)
+    empty = np.zeros((0, len(quality.LABELLERS)))
+    assert quality.fit_votes(empty, np.zeros(0)).posterior(np.zeros((1, len(quality.LABELLERS)))).tolist() == [1.0]
 
 
 def test_quality_of_odd_documents(odd_documents):
