@@ -87,10 +87,15 @@ def per_slice(fn: Callable[[pa.RecordBatch], dict], schema: pa.Schema, rows: int
 HOT_SHARE = 1 / 2_000
 
 
-def hot_keys(counts: DataFrame, key: str, total: int) -> list:
-    """Rows of the keys of counts(key, count) that hold over HOT_SHARE of ``total`` rows: fewer than 2,000, whatever the table."""
-    bound = max(1_000, int(total * HOT_SHARE))
-    return counts.where((F.col("count") > bound) & F.col(key).isNotNull()).select(key).collect()
+def hot_keys(many: DataFrame, key: str, counts: DataFrame | None = None) -> list:
+    """Rows of the keys that hold over HOT_SHARE of the rows of many, and over 1,000: fewer than 1 / HOT_SHARE, whatever the table.
+
+    ``counts``(key, count) are the rows of many by key, where they are known.
+    """
+    counts = counts if counts is not None else many.groupBy(key).count()
+    frequent = counts.where((F.col("count") > 1_000) & F.col(key).isNotNull()).orderBy(F.desc("count")).limit(round(1 / HOT_SHARE)).select(key, "count").collect()
+    bound = many.count() * HOT_SHARE if frequent else 0
+    return [(r[key],) for r in frequent if r["count"] > bound]
 
 
 def lookup(many: DataFrame, one: DataFrame, key: str, how: str = "left", counts: DataFrame | None = None) -> DataFrame:
@@ -100,7 +105,7 @@ def lookup(many: DataFrame, one: DataFrame, key: str, how: str = "left", counts:
     1 / HOT_SHARE rows); all others are joined by the key, of which no task then gets a large share.
     ``counts`` are the rows of many by key, where they are known.
     """
-    hot = hot_keys(counts if counts is not None else many.groupBy(key).count(), key, many.count())
+    hot = hot_keys(many, key, counts)
     if not hot:
         return many.join(one, key, how)
     hot = F.broadcast(many.sparkSession.createDataFrame(hot, many.select(key).schema))

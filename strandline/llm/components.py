@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lookup
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Each round every root with smaller neighbours hangs itself below the smallest of them, trees
     are flattened by pointer doubling, and the edges are rewritten to their ends' roots. Rounds
     and doublings are logarithmic in the longest chain. Only keyed joins and partial
-    aggregations take part; every step is a table in the shared folder.
+    aggregations take part, the nodes of a giant component being dealt over the tasks; every step
+    is a table in the shared folder.
 
     Empty input gives an empty result. Self loops, repeated edges and null ends have no effect.
     """
@@ -28,7 +29,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         while True:
             doubling += 1
             above = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            longer = hooks.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
+            longer = lookup(hooks, above, "root").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
             longer = scratch.keep(longer, f"hooks-{step}-{doubling}")
             scratch.drop(hooks_name)
             hooks, hooks_name = longer.select("node", "root"), f"hooks-{step}-{doubling}"
@@ -38,11 +39,11 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             grown = hooks
         else:
             above = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            grown = trees.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root")).unionByName(hooks)
+            grown = lookup(trees, above, "root").select("node", F.coalesce("above", "root").alias("root")).unionByName(hooks)
         grown = scratch.keep(grown, f"trees-{step}")
         up = lambda side: hooks.select(F.col("node").alias(side), F.col("root").alias(f"{side}_up"))
         a, b = F.coalesce("a_up", "a"), F.coalesce("b_up", "b")
-        rest = live.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+        rest = lookup(lookup(live, up("a"), "a"), up("b"), "b").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
         rest = scratch.keep(rest, f"edges-{step}")
         scratch.drop(name, hooks_name, *([trees_name] if trees_name else []))
         live, name, trees, trees_name = rest, f"edges-{step}", grown, f"trees-{step}"

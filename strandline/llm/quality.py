@@ -289,7 +289,11 @@ def score_documents(docs: DataFrame, model: QualityModel | None = None, threshol
 
 
 def keep_documents(docs: DataFrame, model: QualityModel | None = None, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that the scorer keeps, all columns as they were."""
+    """The rows of docs that the scorer keeps, all columns as they were.
+
+    A null text, or one without a word, goes; repeated rows and ids are judged each, equal texts
+    alike; other columns, whatever their names, play no part; an empty table gives an empty one.
+    """
     width, scores = scorer(model or fit(docs))
 
     def run(batches):

@@ -154,7 +154,9 @@ def judge_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def clean_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows that are kept, with failing lines removed from ``text``; other columns as they were.
 
-    ``n_chars``, where there is such a column, follows the text.
+    ``n_chars``, where there is such a column, follows the text. A null or empty text goes; repeated
+    rows and ids are judged each; other columns, whatever their names, play no part; an empty table
+    gives an empty one.
     """
 
     def run(batches):

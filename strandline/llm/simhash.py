@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, per_slice, texts
+from .common import Scratch, lookup, per_slice, texts
 from .components import connected_components
 
 #: Bytes of a text taken apart at once; a longer text is taken in pieces that end between words.
@@ -250,17 +250,19 @@ def in_tiles(keyed: DataFrame, tile: int, most: int | None = None) -> DataFrame:
     """The rows of keyed(key, fp, ...) with a column tile, for the keys that several rows share.
 
     ``tile`` bounds the rows that meet in one place, and ``most`` the sum of their column size: a
-    key with more is dealt into parts, and each two parts get a tile of their own.
+    key with more is dealt into parts, and each two parts get a tile of their own. Rows of a key
+    that very many share learn its parts where they are, so the key is never in one task as a whole.
     """
     count, parts = F.count("*").alias("count"), F.ceil(F.col("count") / tile)
     if most:
         sizes, parts = keyed.groupBy("key").agg(count, F.sum("size").alias("sum")), F.greatest(parts, F.ceil(F.col("sum") / most))
     else:
         sizes = keyed.groupBy("key").agg(count)
-    sizes = sizes.where("count > 1").select("key", parts.alias("parts"))
+    sizes = sizes.where("count > 1").select("key", "count", parts.alias("parts"))
     part = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("parts"))
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.least(i, part) * F.col("parts") + F.greatest(i, part))
-    return keyed.join(sizes, "key").select(*keyed.columns, F.explode(tiles).alias("tile"))
+    found = lookup(keyed, sizes.drop("count"), "key", "inner", counts=sizes)
+    return found.select(*keyed.columns, F.explode(tiles).alias("tile"))
 
 
 def tile_edges(dealt: DataFrame, runs) -> DataFrame:
@@ -284,12 +286,12 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 3, max_bits: int =
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.keep(fingerprints(docs, shingle, seed), "fingerprints")
-    least = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    least = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("count")), "distinct")
     roots = connected_components(links(least.select("fp"), max_bits, blocks, tile), scratch)
-    rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = scratch.keep(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = lookup(rooted.select("fp", "root"), smallest, "root").select("fp", "component_id")
+    return lookup(rows, named, "fp", "inner", counts=least.select("fp", "count")).select("doc_id", "fp", "component_id")
 
 
 def similar_links(sketches: DataFrame, similarity: float, tile: int = 1024) -> DataFrame:
@@ -309,7 +311,11 @@ def deduplicate(
     ``similarity``, five standard errors; and fingerprints within ``max_bits`` bits, by pigeonhole
     blocks. What these connect is a cluster, and all pairs of a cluster are compared, in tiles of
     two parts of about ``tile`` texts and ``most`` shingles each.
-    The row with the smallest id stays, null ids last.
+
+    The row with the smallest id stays, null ids last; of rows alike in id and text the one whose
+    other columns come first as JSON. A null text is an empty one; texts without a word are each
+    other's copies; one of fewer than ``shingle`` words has itself as its only shingle; an empty table
+    gives an empty one.
     """
     scratch, exact = Scratch(docs.sparkSession, "dedup"), Scratch(docs.sparkSession, "dedup-exact")
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
@@ -338,10 +344,11 @@ def deduplicate(
     pairs = rows.select("fp", "set_id").distinct()
     first = scratch.keep(pairs.groupBy("fp").agg(F.min("set_id").alias("first")), "first")
     named = lambda side: first.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_first"))
-    same = pairs.join(first, "fp").where("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b"))
-    block = links(first.select("fp"), max_bits, blocks).join(named("a"), "a").join(named("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    same = lookup(pairs, first, "fp", "inner").where("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b"))
+    block = scratch.keep(links(first.select("fp"), max_bits, blocks), "block")
+    block = lookup(lookup(block, named("a"), "a", "inner"), named("b"), "b", "inner").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
     roots = connected_components(same.unionByName(block).unionByName(similar_links(sketches, similarity - slack, tile)), scratch)
-    scratch.drop("sketches", "rows", "first")
+    scratch.drop("sketches", "rows", "first", "block")
     own = F.col("root").alias("key")
     clusters = roots.select(own, F.col("node").alias("set_id")).unionByName(roots.select(own, F.col("root").alias("set_id")).distinct())
     keyed = clusters.join(best, "set_id").select("key", F.col("set_id").alias("fp"), "best.doc_id", "best.text_hash", "best.n", "best.size")
@@ -354,10 +361,13 @@ def deduplicate(
         return found.select(*columns) if columns else found
 
     def once(some: DataFrame, how: str, by: list[str], *columns: str) -> DataFrame:
-        """Rows of docs for some(doc_id, text_hash, n), one of each where n rows are alike."""
+        """Rows of docs for some(doc_id, text_hash, n), one of each where n rows are alike, by id and text."""
         found = chosen(some.where("n = 1"), how, *columns)
         if not some.where("n > 1").isEmpty():
-            found = found.unionByName(chosen(some.where("n > 1"), how, *columns).dropDuplicates(by))
+            alike = chosen(some.where("n > 1"), how, *columns)
+            row = F.struct(*alike.columns)
+            firsts = alike.groupBy(*[F.col(c).alias(f"by_{c}") for c in by]).agg(F.min_by(row, F.to_json(row)).alias("row"))
+            found = found.unionByName(firsts.select("row.*"))
         return found
 
     read = lambda some: [shingle_set(shingle_hashes(t, shingle, seed)) for t in some.to_pylist()]

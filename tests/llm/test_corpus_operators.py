@@ -224,6 +224,28 @@ def test_components_equal_brute_force(spark, odd_documents, draw):
     assert simhash.near_duplicate_components(docs.limit(0)).collect() == []
 
 
+def test_components_where_a_block_is_hot(spark, draw):
+    prints = np.unique((0x5A5A5 << 44 | draw.integers(0, 1 << 21, 2500)).astype(np.int64))
+    fps = spark.createDataFrame([(int(p),) for p in prints], "fp long")
+    edges = simhash.links(fps, tile=200)
+    from strandline.llm.common import Scratch
+    from strandline.llm.components import connected_components
+
+    roots = {r.node: r.root for r in connected_components(edges, Scratch(spark, "test")).collect()}
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3
+    seen, want = set(), {}
+    for i in range(len(prints)):
+        front = [i] if i not in seen else []
+        seen.update(front)
+        while front:
+            j = front.pop()
+            want[int(prints[j])] = int(prints[i])
+            new = [k for k in np.flatnonzero(near[j]).tolist() if k not in seen]
+            seen.update(new)
+            front += new
+    assert {p: roots.get(p, p) for p in want} == want and len(set(want.values())) < len(want)
+
+
 def test_the_sign_bit_counts_as_any_other(draw):
     top, others = 1 << 63, [1 << b for b in range(63)]
     flips = [top] + [top | a for a in others] + [top | a | b for a, b in itertools.combinations(others, 2)]
