@@ -1,4 +1,12 @@
-"""From documents to packed sequences: quality classifier, quality rules, near-dedup, packing."""
+"""From documents to packed sequences: quality classifier, quality rules, near-dedup, packing.
+
+Defined cases, for every stage: an empty table gives an empty one; repeated rows and ids are rows of
+their own until near-dedup, which keeps one of each group; other columns than doc_id and text,
+whatever their names, pass through the first three stages as they were (n_chars follows the text).
+Null texts, and texts without a word, go with the classifier; alone, the rules drop them too,
+near-dedup keeps one of them, and packing gives them the end id. Long texts are read as a whole.
+Rows with a null id are judged like others; near-dedup prefers rows with an id.
+"""
 
 from __future__ import annotations
 
@@ -41,9 +49,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table, each written and read again as the next one's input."""
+    """All stages over the whole documents table, each written and read again as the next one's input.
+
+    A stage's table is dropped when the next one's is written; the last one's stays, as the result.
+    """
     scratch = Scratch(spark, "pipeline")
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
