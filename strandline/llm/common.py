@@ -85,16 +85,19 @@ def per_slice(fn: Callable[[pa.RecordBatch], dict], schema: pa.Schema, rows: int
 
 #: A key with more than this share of the rows is hot. Fewer than 1 / HOT_SHARE keys can be.
 HOT_SHARE = 1 / 2_000
+#: One row in so many tells which keys are hot; a key missed by chance is joined like any other.
+LOOKED_AT = 32
 
 
 def hot_keys(many: DataFrame, key: str, counts: DataFrame | None = None) -> list:
-    """Rows of the keys that hold over HOT_SHARE of the rows of many, and over 1,000: fewer than 1 / HOT_SHARE, whatever the table.
+    """The keys that hold about HOT_SHARE of the rows of many or more, and over 1,000: at most 1 / HOT_SHARE, whatever the table.
 
-    ``counts``(key, count) are the rows of many by key, where they are known.
+    ``counts``(key, count) are the rows of many by key, where they are known; else a sample tells.
     """
-    counts = counts if counts is not None else many.groupBy(key).count()
-    frequent = counts.where((F.col("count") > 1_000) & F.col(key).isNotNull()).orderBy(F.desc("count")).limit(round(1 / HOT_SHARE)).select(key, "count").collect()
-    bound = many.count() * HOT_SHARE if frequent else 0
+    part = 1 if counts is not None else LOOKED_AT
+    counts = counts if counts is not None else many.select(key).sample(1 / part, 7).groupBy(key).count()
+    frequent = counts.where((F.col("count") > 1_000 // part) & F.col(key).isNotNull()).orderBy(F.desc("count")).limit(round(1 / HOT_SHARE)).select(key, "count").collect()
+    bound = many.count() * HOT_SHARE / part if frequent else 0
     return [(r[key],) for r in frequent if r["count"] > bound]
 
 

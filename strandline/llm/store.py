@@ -204,10 +204,18 @@ def block_roots(recipes: DataFrame) -> DataFrame:
     return recipes.select("block", "local_start", "n_tokens", "root").groupBy("block").applyInArrow(rooted, MANIFEST)
 
 
+def manifest_rows(manifest: DataFrame) -> list[tuple[int, int, int, bytes]]:
+    """The rows by block, at most ``most_blocks`` of them."""
+    return sorted((r["block"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in manifest.collect())
+
+
+def root_of(rows: list[tuple[int, int, int, bytes]]) -> str:
+    return merkle([b"".join((block.to_bytes(4, "little"), docs.to_bytes(8, "little"), tokens.to_bytes(8, "little"), root)) for block, docs, tokens, root in rows]).hex()
+
+
 def store_root(spark: SparkSession, path: str) -> str:
-    """Hex digits of the Merkle root over the manifest's rows, at most ``most_blocks`` of them."""
-    rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy("block").collect()
-    return merkle([b"".join((r["block"].to_bytes(4, "little"), r["n_docs"].to_bytes(8, "little"), r["n_tokens"].to_bytes(8, "little"), bytes(r["root"]))) for r in rows]).hex()
+    """Hex digits of the Merkle root over the manifest's rows."""
+    return root_of(manifest_rows(spark.read.schema(MANIFEST).parquet(f"{path}/manifest")))
 
 
 def verify_manifest(spark: SparkSession, path: str, root: str | None = None) -> None:
@@ -221,13 +229,12 @@ def verify_manifest(spark: SparkSession, path: str, root: str | None = None) ->
                     raise ValueError("a recipe's digests don't have its root")
             yield batch.select(columns)
 
-    written = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    written = manifest_rows(spark.read.schema(MANIFEST).parquet(f"{path}/manifest"))
     recipes = spark.read.parquet(f"{path}/recipes").select(*columns, "digests", "ends")
-    found = block_roots(recipes.mapInArrow(run, "block int, local_start long, n_tokens long, root binary"))
-    wrong = written.exceptAll(found).unionByName(found.exceptAll(written)).select("block").distinct().orderBy("block").limit(5).collect()
-    if wrong:
-        raise ValueError(f"recipes and manifest differ in blocks {[r['block'] for r in wrong]}")
-    if root is not None and store_root(spark, path) != root:
+    found = manifest_rows(block_roots(recipes.mapInArrow(run, "block int, local_start long, n_tokens long, root binary")))
+    if written != found:
+        raise ValueError(f"recipes and manifest differ in blocks {sorted({r[0] for r in set(written) ^ set(found)})[:5]}")
+    if root is not None and root_of(written) != root:
         raise ValueError("the manifest doesn't have the store's root")
 
 
