@@ -14,7 +14,8 @@ from .common import Scratch, hex64, read_table
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    # A row without an id is in no fold: it teaches nothing, and isn't held out.
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     model = langid.fit(docs, ~held_out)
     return langid.identify(docs, model, {"held_out": held_out}).select("doc_id", "held_out", "lang_pred", "score")
 

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandline.llm import html, langid, licenses, quality, rules, simhash, topk
+from strandline.llm import html, langid, licenses, quality, queries, rules, simhash, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -74,6 +74,13 @@ def test_language_windows_label_every_byte_once():
         assert abs(langid.probabilities(net, [b"x" * size, b""])[0].sum() - 1) < 1e-4
 
 
+def test_a_row_without_an_id_is_not_held_out(spark, spoken, tmp_path):
+    spoken.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op1_language_id(spark, str(tmp_path)).collect()
+    assert len(found) == spoken.count() and all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in found)
+    assert all(r.lang_pred in {*TONGUES, "und"} and 0 <= r.score <= 1 for r in found)
+
+
 def test_language_without_teachers(spark, spoken):
     model = langid.fit(spoken.limit(0))
     assert {r.lang_pred for r in langid.identify(spoken, model).collect()} == {"und"}
@@ -594,3 +601,54 @@ def test_top_k_of_nothing(spark):
     vectors = spark.createDataFrame([(20, [1.0])], "vec_id long, embedding array<double>")
     assert topk.exact_top_k(vectors).collect() == []
     assert topk.exact_top_k(vectors.limit(0)).collect() == []
+
+
+# --- the registered queries
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, odd_documents, tmp_path_factory):
+    where = tmp_path_factory.mktemp("sf")
+    odd_documents.withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text")).write.parquet(f"{where}/documents.parquet")
+    return str(where)
+
+
+def test_registered_digests_equal_brute_force(spark, odd_documents, odd_tables):
+    """The columns that the queries derive, each from the text itself."""
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+    from tokenizers import Tokenizer
+
+    texts = [(r.doc_id, r.text or "") for r in odd_documents.collect()]
+    own = ordered((r.doc_id, r.fingerprint) for r in queries.op3_simhash(spark, odd_tables).collect())
+    assert own == ordered((i, f"{brute_fingerprint(t):016x}") for i, t in texts)
+
+    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    want = [(i, len(ids), sha(",".join(map(str, ids)).encode()), sha(t.encode())) for i, t in texts for ids in [encoding.encode_ordinary(t)]]
+    assert ordered(tuple(r) for r in queries.op4_byte_bpe(spark, odd_tables).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == ordered(want)
+
+    found = {r.doc_id: r for r in queries.op5_license_scan(spark, odd_tables).collect()}
+    for i, text in texts:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        at = sorted((k, label) for p, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split())
+        r = found[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(at), at[0][0] if at else None, at[-1][0] if at else None)
+        assert r.base_labels == ",".join(sorted({x for _, x in at})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+    ids = lambda name, end: [(i, [*Tokenizer.from_file(public_tokenizers.path(name)).encode(t, add_special_tokens=False).ids, end]) for i, t in texts]
+    crc = lambda some: zlib.crc32(np.array(some, "<u4").tobytes())
+    stored, at = [], 0
+    for i, some in sorted(ids("byte_bpe_50k.json", 2), key=lambda d: (d[0] is None, d[0])):
+        stored.append((i, at, len(some), crc(some)))
+        at += len(some)
+    assert ordered(tuple(r) for r in queries.op7_token_store(spark, odd_tables).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == ordered(stored)
+
+    cut = [(i, k, s, len(some[s : s + 4096]), crc(some[s : s + 4096])) for i, some in ids("word_bpe_49k.json", 1) for k, s in enumerate(range(0, len(some), 4096))]
+    assert ordered(tuple(r) for r in queries.op9_best_fit_packing(spark, odd_tables).select("doc_id", "piece", "start", "length", "ids_crc32").collect()) == ordered(cut)
+    assert ordered(r.doc_id for r in queries.op2_quality(spark, odd_tables).collect()) == ordered(i for i, _ in texts)
+    judged = {r.doc_id: r for r in queries.op8_quality_rules(spark, odd_tables).collect()}
+    assert all(judged[i][1:7] == tuple(rules.judge(t)[k] for k in (0, 1, 2, 3, 4, 5)) for i, t in texts)
