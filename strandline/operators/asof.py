@@ -104,3 +104,29 @@ def grid(target: DataFrame, keys: list[str], step_ns: int, tolerance_ns: int, ti
     points = spans.select(*keys, F.explode(F.sequence("_t0", "_t1", F.lit(step_ns).cast("long"))).alias(time))
     joined = nearest(points, target, keys, time, [order], order).where(F.abs("dt_ns") <= tolerance_ns)
     return joined.withColumn("reuse", F.count("*").over(Window.partitionBy(*keys, order)))
+
+
+def grid_frames(target: DataFrame, keys: list[str], step_ns: int | None, time: str = "t", order: str = "sample_index") -> DataFrame:
+    """The real samples nearest to a regular grid over each key's span, each at most once; without a step all of them.
+
+    Times of a key must rise strictly: the first that doesn't is an error.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    checked = F.when(F.col(time) <= F.lag(time).over(w), F.raise_error(F.lit("times must rise strictly"))).otherwise(F.col(time))
+    rows = target.withColumn(time, checked)
+    if step_ns is None:
+        return rows.select(*keys, order, time)
+    points = rows.groupBy(*keys).agg(F.min(time).alias("_t0"), F.max(time).alias("_t1"))
+    points = points.select(*keys, F.explode(F.sequence("_t0", "_t1", F.lit(step_ns).cast("long"))).alias(time))
+    picked = nearest(points, rows, keys, time, [order], order)
+    return picked.select(*keys, order, F.col("target_t").alias(time)).distinct()
+
+
+def grid_tolerance_ns(step_ns: Column, period_ns: Column) -> Column:
+    """Half a grid step or half a frame's period, whichever is longer."""
+    return F.greatest(step_ns, period_ns) / 2
+
+
+def reindexed(reference: DataFrame, target: DataFrame, on: list[str], values: list[str]) -> DataFrame:
+    """Every reference row with the values of the target at exactly its keys and time; NULL where there is none."""
+    return reference.join(target.select(*on, *values), on, "left")

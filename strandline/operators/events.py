@@ -90,3 +90,16 @@ def polarity(df: DataFrame, keys: list[str], flag: str, most_share: float = 0.35
     share = F.col("n_true") / F.col("n")
     closed = F.when((share <= most_share) & (F.col("len_true") < F.col("len_false")), "true").when((1 - share <= most_share) & (F.col("len_false") < F.col("len_true")), "false").otherwise("undecided")
     return by.select(*keys, "n", "n_true", closed.alias("closed_value"))
+
+
+def window_statistics(samples: DataFrame, windows: DataFrame, keys: list[str], window_id: str, bucket_ns: int, closed: Column, value: str) -> DataFrame:
+    """In any windows(start, end): samples, closures a minute (rises of ``closed``), share closed, median value, and mean step of the value."""
+    w = Window.partitionBy(*keys).orderBy("t", "sample_index")
+    flagged = samples.withColumn("_closed", F.coalesce(closed, F.lit(False)))
+    marked = flagged.withColumns({"_rise": F.col("_closed") & ~F.coalesce(F.lag("_closed").over(w), F.lit(False)), "_step": F.abs(F.col(value) - F.lag(value).over(w))})
+    inside = within(marked, windows.select(*keys, window_id, "start", "end"), keys, bucket_ns)
+    minutes = (F.first("end") - F.first("start")) / 6e10
+    return inside.groupBy(*keys, window_id).agg(
+        F.count("*").alias("n"), F.try_divide(F.count_if("_rise"), minutes).alias("closures_per_minute"), F.avg(F.col("_closed").cast("double")).alias("closed_share"),
+        F.percentile(value, 0.5).alias("median_value"), F.avg("_step").alias("mean_step"),
+    )

@@ -77,3 +77,30 @@ def visits(df: DataFrame, keys: list[str], label: str, time: str = "t", order: s
     marked = runs(df, keys, F.col(label), time, order)
     table = marked.groupBy(*keys, label).agg(F.count("*").alias("n_samples"), F.count_distinct("run_id").alias("visits"))
     return table.withColumn("revisits", F.col("visits") - 1)
+
+
+def changes(df: DataFrame, keys: list[str], state: str, time: str = "t", order: str = "sample_index") -> DataFrame:
+    """Rows where ``state`` isn't NULL and differs from the row before (NULL differs too), with ``previous``."""
+    w = ordered(keys, time, order)
+    rows = df.withColumns({"previous": F.lag(state).over(w), "_row": F.row_number().over(w)})
+    return rows.where((F.col("_row") > 1) & F.col(state).isNotNull() & ~F.col(state).eqNullSafe(F.col("previous"))).drop("_row")
+
+
+def returns(df: DataFrame, keys: list[str], label: str, interval_s: float, time: str = "t") -> DataFrame:
+    """Per key and label: seconds from the key's first row to the label's first, and its returns a minute.
+
+    A return is a gap of over two intervals between the label's rows; the minutes are the key's rows
+    times the interval.
+    """
+    whole = df.groupBy(*keys).agg(F.min(time).alias("_first"), (F.count("*") * interval_s / 60).alias("_minutes"))
+    gap = (F.col(time) - F.lag(time).over(Window.partitionBy(*keys, label).orderBy(time))) / 1e9
+    by = df.withColumn("_gap", gap).groupBy(*keys, label).agg(F.min(time).alias("_at"), F.count_if(F.col("_gap") > 2 * interval_s).alias("_n"))
+    return by.join(whole, keys).select(*keys, label, ((F.col("_at") - F.col("_first")) / 1e9).alias("time_to_first_s"), F.try_divide(F.col("_n"), F.col("_minutes")).alias("returns_per_minute"))
+
+
+def off_runs(df: DataFrame, keys: list[str], valid: Column, inside: Column, interval_s: float, time: str = "t", order: str = "sample_index") -> DataFrame:
+    """Runs of rows that are invalid or not inside, per key: number, seconds (rows times the interval), longest, mean, and runs without any valid row."""
+    ok = F.coalesce(valid, F.lit(False))
+    marked = runs(df.withColumns({"_ok": ok, "_off": ~(ok & F.coalesce(inside, F.lit(False)))}), keys, F.col("_off"), time, order)
+    table = marked.where("_off").groupBy(*keys, "run_id").agg((F.count("*") * interval_s).alias("s"), (~F.bool_or("_ok")).alias("blind"))
+    return table.groupBy(*keys).agg(F.count("*").alias("n_runs"), F.sum("s").alias("total_s"), F.max("s").alias("longest_s"), F.avg("s").alias("mean_s"), F.count_if("blind").alias("n_blind"))

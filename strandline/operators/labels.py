@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,23 +75,20 @@ def resolve_overlap(df: DataFrame, keys: list[str], priority: str, score: str, o
 
 
 def nms(df: DataFrame, keys: list[str], most_iou: float, score: str = "score", order: str = "box_id") -> DataFrame:
-    """Greedy suppression of boxes x0, y0, x1, y1 per key by score; sequential, so in pandas per key."""
+    """Greedy suppression of boxes x0, y0, x1, y1 per key by score; sequential, so in pandas per key, a box against all kept at once."""
 
     def keep(boxes: pd.DataFrame) -> pd.DataFrame:
         boxes = boxes.sort_values([score, order], ascending=[False, True], kind="stable")
-        kept: list[int] = []
-        for i, (_, b) in enumerate(boxes.iterrows()):
-            clear = True
-            for j in kept:
-                k = boxes.iloc[j]
-                w, h = min(b.x1, k.x1) - max(b.x0, k.x0), min(b.y1, k.y1) - max(b.y0, k.y0)
-                inter = max(0.0, w) * max(0.0, h)
-                union = (b.x1 - b.x0) * (b.y1 - b.y0) + (k.x1 - k.x0) * (k.y1 - k.y0) - inter
-                if union > 0 and inter / union > most_iou:
-                    clear = False
-                    break
-            if clear:
-                kept.append(i)
+        corner = boxes[["x0", "y0", "x1", "y1"]].to_numpy(float)
+        area = (corner[:, 2:] - corner[:, :2]).prod(1)
+        left, kept = np.arange(len(boxes)), []
+        while len(left):
+            best, left = left[0], left[1:]
+            kept.append(best)
+            sides = np.minimum(corner[best, 2:], corner[left, 2:]) - np.maximum(corner[best, :2], corner[left, :2])
+            inter = np.maximum(sides, 0).prod(1)
+            union = area[best] + area[left] - inter
+            left = left[~((union > 0) & (inter > most_iou * union))]
         return boxes.iloc[kept]
 
     return df.groupBy(*keys).applyInPandas(keep, df.schema)
@@ -128,3 +126,57 @@ def map_phrases(df: DataFrame, phrase_id: str, phrase: str, vocabulary: DataFram
     verdict = F.when(F.coalesce("score", F.lit(0.0)) < least, "none").when((F.col("score") < 1) & (F.col("score") - F.coalesce("next", F.lit(0.0)) < margin), "ambiguous").otherwise("mapped")
     out = own.select(phrase_id).join(ranked, phrase_id, "left")
     return out.select(phrase_id, F.when(F.coalesce("score", F.lit(0.0)) >= least, F.col("class_name")).alias("class_name"), F.coalesce("score", F.lit(0.0)).alias("score"), verdict.alias("verdict"))
+
+
+def agreement(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """Two methods' labels of the same places: per class intersection, union and their ratio, and agreement where both have one."""
+    pair = F.array_distinct(F.array_compact(F.array(a, b)))
+    by = df.withColumn("class_name", F.explode(pair)).groupBy(*keys, "class_name").agg(F.count_if(F.col(a) == F.col(b)).alias("intersection"), F.count("*").alias("union"))
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    whole = df.groupBy(*keys).agg(F.count_if(both).alias("n_common"), F.try_divide(F.count_if(both & (F.col(a) == F.col(b))), F.count_if(both)).alias("agreement"))
+    return by.join(whole, keys).withColumn("iou", F.try_divide("intersection", "union"))
+
+
+def coverage_metrics(df: DataFrame, frame: str, label: str) -> DataFrame:
+    """Over frames: mean share of labelled places, of unlabelled ones, and classes in a frame."""
+    by = df.groupBy(frame).agg(F.avg(F.col(label).isNotNull().cast("double")).alias("_c"), F.count_distinct(label).alias("_n"))
+    return by.agg(F.count("*").alias("n_frames"), F.avg("_c").alias("coverage"), F.avg(1 - F.col("_c")).alias("unknown"), F.avg("_n").alias("classes_per_frame"))
+
+
+def best_presence(df: DataFrame, keys: list[str], frame: str, label: str, of: list) -> DataFrame:
+    """Share of a key's frames that hold the one of these classes which is in most of them."""
+    whole = df.groupBy(*keys).agg(F.count_distinct(frame).alias("n"), *[F.count_distinct(F.when(F.col(label) == c, F.col(frame))).alias(f"_c{i}") for i, c in enumerate(of)])
+    return whole.select(*keys, (F.greatest(F.lit(0).cast("long"), *[F.col(f"_c{i}") for i in range(len(of))]) / F.col("n")).alias("continuity"))
+
+
+def dominant_near(points: DataFrame, places: DataFrame, keys: list[str], point_id: str, radius: int, label: str = "label") -> DataFrame:
+    """The commonest label above 0 in the square of ``radius`` whole steps around each point(u, v), ties to the least, and its share.
+
+    Places(x, y, label) meet points by the cell they stand in, so the join has equal keys.
+    """
+    reach = F.sequence(F.lit(-radius), F.lit(radius))
+    near = points.select(*keys, point_id, F.explode(F.transform(reach, lambda d: F.round("u").cast("long") + d)).alias("x"), F.round("v").cast("long").alias("_v"))
+    near = near.withColumn("y", F.explode(F.transform(reach, lambda d: F.col("_v") + d)))
+    counts = near.join(places.where(F.col(label) > 0), [*keys, "x", "y"]).groupBy(*keys, point_id, label).agg(F.count("*").alias("_n"))
+    best = counts.groupBy(*keys, point_id).agg(F.max_by(F.struct(F.col(label).alias("l"), F.col("_n").alias("n")), F.struct("_n", -F.col(label))).alias("_b"), F.sum("_n").alias("_t"))
+    found = points.select(*keys, point_id).join(best, [*keys, point_id], "left")
+    return found.select(*keys, point_id, F.coalesce("_b.l", F.lit(0)).alias("label"), F.coalesce(F.col("_b.n") / F.col("_t"), F.lit(0.0)).alias("share"))
+
+
+def aggregated_masks(queries: DataFrame, keys: list[str], classes: str, mask: str, n_classes: int) -> DataFrame:
+    """Scores of queries(classes ARRAY, mask ARRAY): per cell the sum over queries of class chance times mask chance.
+
+    Returns per key and cell the best class (ties to the first), its share of the cell's sum as confidence, and the entropy over ln of the classes.
+    """
+    cells = queries.select(*keys, classes, F.posexplode(mask).alias("cell", "_m"))
+    scores = cells.select(*keys, "cell", F.posexplode(F.transform(classes, lambda c: c * F.col("_m"))).alias("class_id", "_s")).groupBy(*keys, "cell", "class_id").agg(F.sum("_s").alias("_s"))
+    total = F.sum("_s").over(Window.partitionBy(*keys, "cell"))
+    shares = scores.withColumn("_p", F.try_divide("_s", total))
+    spread = -F.sum(F.when(F.col("_p") > 0, F.col("_p") * F.ln("_p")).otherwise(0.0))
+    return shares.groupBy(*keys, "cell").agg(F.max_by("class_id", F.struct("_p", -F.col("class_id"))).alias("class_id"), F.max("_p").alias("confidence"), (spread / F.ln(F.lit(float(n_classes)))).alias("entropy"))
+
+
+def zone_candidate(u: Column, v: Column, zone: tuple[float, float, float, float], confidence: Column, least: float, entropy: Column, most: float) -> Column:
+    """True in the zone (u0, v0, u1, v1) where the label is doubtful: little confidence or much entropy. NULL counts as no."""
+    inside = u.between(zone[0], zone[2]) & v.between(zone[1], zone[3])
+    return F.coalesce(inside & ((confidence < least) | (entropy > most)), F.lit(False))

@@ -62,3 +62,11 @@ def light_residual(pupil: DataFrame, light: DataFrame, keys: list[str], toleranc
     ok = (F.regr_count("value", "log_lux") >= least) & (F.stddev_pop("log_lux") >= 1e-6)
     fit = joined.groupBy(*keys).agg(F.when(ok, F.regr_slope("value", "log_lux")).alias("slope"), F.when(ok, F.regr_intercept("value", "log_lux")).alias("icept"))
     return joined.join(fit, keys).withColumn("residual", F.col("value") - (F.col("icept") + F.col("slope") * F.col("log_lux")))
+
+
+def tagged(found: DataFrame, windows: DataFrame, keys: list[str], usable: str, reason: str, quality: str) -> DataFrame:
+    """Beats with the quality of the last window that starts at or before them (the first one where none does), invalid in an unusable one."""
+    near = asof.backward(found, windows, keys, [usable, reason, quality])
+    bad = ~F.coalesce(usable, F.lit(True))
+    why = F.when(bad & F.col("valid"), F.concat(F.lit("window rejected: "), F.coalesce(reason, F.lit("unknown"))))
+    return near.select(*[c for c in found.columns if c != "valid"], F.col(quality).alias("sqi"), (F.col("valid") & ~bad).alias("valid"), why.alias("rejected"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,19 +65,25 @@ def benjamini_hochberg(df: DataFrame, family: list[str], p: str, alpha: float =
     return rows.withColumn("p_adjusted", F.when(some, adjusted)).withColumn("significant", F.coalesce(F.col("p_adjusted") <= alpha, F.lit(False))).drop("_scaled", "_rank")
 
 
+def drawn(*parts) -> Column:
+    """A number below 2**60 from the parts' MD5: the same draw on any cluster and in any engine."""
+    spelt = F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(spelt.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def block_bootstrap(df: DataFrame, keys: list[str], value: str, block: str, replicates: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:
     """Percentile interval of the mean over blocks drawn with replacement.
 
-    Draws come from a hash of (seed, replicate, slot), so they are the same on any cluster. Blocks
+    Draws come from a hash of (seed, replicate, slot). Blocks
     are reduced to sums before, so a replicate moves blocks, never samples. NULL below 3 blocks.
     """
     w = Window.partitionBy(*keys)
     sums = df.where(F.col(value).isNotNull()).groupBy(*keys, block).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
     sums = sums.withColumns({"slot": F.row_number().over(w.orderBy(block)) - 1, "k": F.count("*").over(w)})
     slots = sums.select(*keys, "k", F.col("slot").alias("place")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "rep", "place"), F.col("k")).cast("int")
-    drawn = slots.withColumn("slot", draw).join(sums.select(*keys, "slot", "s", "c"), [*keys, "slot"])
-    means = drawn.groupBy(*keys, "rep", "k").agg((F.sum("s") / F.sum("c")).alias("m"))
+    draw = F.pmod(drawn(seed, "rep", "place"), F.col("k")).cast("int")
+    placed = slots.withColumn("slot", draw).join(sums.select(*keys, "slot", "s", "c"), [*keys, "slot"])
+    means = placed.groupBy(*keys, "rep", "k").agg((F.sum("s") / F.sum("c")).alias("m"))
     tail = (1 - level) / 2
     bound = lambda q: F.when(F.first("k") >= 3, F.percentile("m", q))
     whole = sums.groupBy(*keys).agg((F.sum("s") / F.sum("c")).alias("estimate"), F.count("*").alias("n_blocks"))
@@ -88,7 +95,7 @@ def block_permutation(df: DataFrame, keys: list[str], group: str, a, b, value: s
     w = Window.partitionBy(*keys)
     means = df.where(F.col(group).isin(a, b)).groupBy(*keys, group, block).agg(F.avg(value).alias("m")).where("m is not null")
     means = means.withColumn("n_a", F.count_if(F.col(group) == a).over(w))
-    dealt = means.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn("place", F.when(F.col("rep") == 0, F.when(F.col(group) == a, -1).otherwise(1)).otherwise(F.xxhash64(F.lit(seed), "rep", group, block)))
+    dealt = means.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn("place", F.when(F.col("rep") == 0, F.when(F.col(group) == a, -1).otherwise(1)).otherwise(drawn(seed, "rep", group, block)))
     ranked = dealt.withColumn("first", F.row_number().over(Window.partitionBy(*keys, "rep").orderBy("place", group, block)) <= F.col("n_a"))
     diff = ranked.groupBy(*keys, "rep").agg((F.avg(F.when(F.col("first"), F.col("m"))) - F.avg(F.when(~F.col("first"), F.col("m")))).alias("d"))
     seen = diff.withColumn("d0", F.max(F.when(F.col("rep") == 0, F.col("d"))).over(w)).where("rep > 0")
@@ -107,3 +114,91 @@ def robust_index(df: DataFrame, keys: list[str], components: list[str], order: l
     there = F.array_compact(F.array(*scaled))
     mean = F.try_divide(F.aggregate(there, F.lit(0.0), lambda s, x: s + x), F.size(there).cast("double"))
     return rows.select(*keys, *order, mean.alias("index_value"), (F.size(there) / len(components)).alias("completeness"))
+
+
+#: Fewer units than this give an interval with a caveat.
+MIN_UNITS = 8
+
+
+def mean_bootstrap(df: DataFrame, keys: list[str], value: str, order: str, replicates: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """Percentile interval of the mean when single rows are drawn with replacement.
+
+    Equal values are counted first, and a draw is a place among the key's rows: a replicate of n
+    draws costs n rows, so this is for keys of bounded size; block_bootstrap is for the others.
+    """
+    w = Window.partitionBy(*keys)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.row_number().over(w.orderBy(order)).alias("_slot"), F.count("*").over(w).alias("_n"))
+    dealt = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(*keys, "rep", (F.pmod(drawn(seed, "rep", "_slot"), F.col("_n")) + 1).cast("int").alias("_slot"))
+    means = dealt.join(rows, [*keys, "_slot"]).groupBy(*keys, "rep").agg(F.avg("_v").alias("_m"))
+    tail = (1 - level) / 2
+    return df.groupBy(*keys).agg(F.avg(value).alias("estimate"), F.count(value).alias("n")).join(means.groupBy(*keys).agg(F.percentile("_m", tail).alias("ci_low"), F.percentile("_m", 1 - tail).alias("ci_high")), keys)
+
+
+def _resampled(units: DataFrame, keys: list[str], value: str, order: str, size: int, replicates: int, seed: int) -> DataFrame:
+    """(keys, rep, value) of drawn runs of ``size`` neighbouring units, as many runs as there are, cut to the number of units."""
+    w = Window.partitionBy(*keys)
+    rows = units.withColumns({"_at": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w)})
+    rows = rows.select(*keys, F.col(value).alias("_v"), F.floor(F.col("_at") / size).alias("_block"), (F.col("_at") % size).alias("_in"), "_n", F.ceil(F.col("_n") / size).alias("_blocks"))
+    slots = rows.where("_in = 0").select(*keys, F.col("_block").alias("_slot"), "_blocks").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn_blocks = slots.select(*keys, "rep", "_slot", F.pmod(drawn(seed, "rep", "_slot"), F.col("_blocks")).alias("_block"))
+    # The last run may be short, so a unit's place in the replicate counts the units before it.
+    placed = drawn_blocks.join(rows, [*keys, "_block"]).withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "rep").orderBy("_slot", "_in")))
+    return placed.where(F.col("_place") <= F.col("_n")).select(*keys, "rep", F.col("_v").alias(value))
+
+
+def paired_bootstrap(pairs: DataFrame, keys: list[str], a: str, b: str, order: str, size: int = 4, replicates: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """Median of a - b over units that have both, with an interval from runs of neighbouring units, and a caveat where they are few."""
+    units = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, order, (F.col(a) - F.col(b)).alias("_d"))
+    medians = _resampled(units, keys, "_d", order, size, replicates, seed).groupBy(*keys, "rep").agg(F.percentile("_d", 0.5).alias("_m"))
+    tail = (1 - level) / 2
+    interval = medians.groupBy(*keys).agg(F.percentile("_m", tail).alias("ci_low"), F.percentile("_m", 1 - tail).alias("ci_high"))
+    whole = units.groupBy(*keys).agg(F.percentile("_d", 0.5).alias("difference"), F.count("*").alias("n_units"))
+    return whole.join(interval, keys).withColumn("few_units", F.col("n_units") < MIN_UNITS)
+
+
+def two_sample_bootstrap(df: DataFrame, keys: list[str], group: str, a, b, value: str, order: str, size: int = 4, replicates: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """Difference of the groups' medians; each group is drawn by itself, as nothing pairs them. No row below 3 units in either."""
+    units = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(*keys, group, order, value)
+    medians = _resampled(units, [*keys, group], value, order, size, replicates, seed).groupBy(*keys, "rep", group).agg(F.percentile(value, 0.5).alias("_m"))
+    of = lambda g, m: F.max(F.when(F.col(group) == g, F.col(m)))
+    tail = (1 - level) / 2
+    apart = medians.groupBy(*keys, "rep").agg((of(a, "_m") - of(b, "_m")).alias("_d"))
+    interval = apart.groupBy(*keys).agg(F.percentile("_d", tail).alias("ci_low"), F.percentile("_d", 1 - tail).alias("ci_high"))
+    each = units.groupBy(*keys, group).agg(F.percentile(value, 0.5).alias("_m"), F.count("*").alias("_n"))
+    whole = each.groupBy(*keys).agg((of(a, "_m") - of(b, "_m")).alias("difference"), of(a, "_n").alias("n_a"), of(b, "_n").alias("n_b")).where("n_a >= 3 and n_b >= 3")
+    return whole.join(interval, keys).withColumn("few_units", F.least("n_a", "n_b") < MIN_UNITS)
+
+
+def events_per_block(df: DataFrame, keys: list[str], time: str, order: str, block_s: float) -> DataFrame:
+    """How many events a window of ``block_s`` holds: its length over the median gap, 1 at least."""
+    w = Window.partitionBy(*keys).orderBy(time, order)
+    gap = F.percentile((F.col(time) - F.col("_before")) / 1e9, 0.5)
+    per = F.when(gap > 0, F.greatest(F.lit(1), F.rint(block_s / gap).cast("int"))).otherwise(F.lit(1))
+    return df.withColumn("_before", F.lag(time).over(w)).groupBy(*keys).agg(per.alias("events_per_block"))
+
+
+#: Components of the named indices; a missing one lowers the completeness.
+INDICES = {
+    "road_complexity": ("curvature", "junction_density", "lanes", "vehicle_density", "pedestrian_density", "sign_density", "boundary_density", "signal_density", "scene_change"),
+    "visual_demand": ("gaze_switching", "gaze_entropy", "short_fixation_rate", "scanpath_length", "head_motion", "semantic_density"),
+    "traffic_interaction": ("vehicle_count", "vehicle_pixel_share", "gaze_on_vehicles", "speed_variation", "braking_rate"),
+}
+
+
+def named_index(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """robust_index of the name's components that df has; completeness is their share of all it could have."""
+    there = [c for c in INDICES[name] if c in df.columns]
+    if not there:
+        raise ValueError(f"df has no component of {name}: {', '.join(INDICES[name])}")
+    found = robust_index(df, keys, there, order)
+    return found.withColumn("completeness", F.col("completeness") * len(there) / len(INDICES[name])).withColumn("index_name", F.lit(name))
+
+
+def apply_statistic(df: DataFrame, keys: list[str], value: str, statistic, out: str = "statistic") -> DataFrame:
+    """A caller's own statistic of a numpy array, per key; a key's values must fit in a task."""
+
+    @F.pandas_udf("double")
+    def applied(values: pd.Series) -> float:
+        return float(statistic(values.to_numpy()))
+
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(applied(F.col(value).cast("double")).alias(out))

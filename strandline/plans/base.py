@@ -18,6 +18,19 @@ KS = ["recording_id", "stream"]
 S = "s as (select user_id as recording_id, event_type as stream, event_id as sample_index, epoch_us(ts) * 1000 as t, value from events)"
 
 
+#: A draw of stats.drawn, for the oracle.
+DRAW = lambda *parts: f"('0x' || substr(md5(concat_ws('|', {', '.join(map(str, parts))})), 1, 15))::bigint"
+
+
+def permutation_sql(source: str, keys: list[str], a: str, b: str, replicates: int) -> str:
+    """CTEs up to ``tested`` for stats.block_permutation over source(keys, g, b, v)."""
+    k = ", ".join(keys)
+    return f"""pm as (select {k}, g, b, avg(v) as m from {source} where g in ('{a}', '{b}') group by {k}, g, b having avg(v) is not null), pn as (select *, count(*) filter (g = '{a}') over (partition by {k}) as n_a from pm),
+pd as (select pn.*, rep, case when rep = 0 then (case when g = '{a}' then -1 else 1 end) else {DRAW(1, 'rep', 'g', 'b')} end as place from pn, range({replicates + 1}) r(rep)),
+pr as (select *, row_number() over (partition by {k}, rep order by place, g, b) <= n_a as first from pd), pf as (select {k}, rep, avg(m) filter (first) - avg(m) filter (not first) as d from pr group by {k}, rep),
+ps as (select *, max(d) filter (rep = 0) over (partition by {k}) as d0 from pf), tested as (select {k}, any_value(d0) as difference, (count(*) filter (abs(d) >= abs(d0) - 1e-12) + 1) / (count(*) + 1) as p from ps where rep > 0 group by {k})"""
+
+
 def query(sql: str | None = None):
     """Register a query under its function's name, with its oracle."""
 

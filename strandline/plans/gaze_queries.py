@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import frames, gaze, islands, stats
-from .base import HOUR, K, S, micros, query, r6, rounded, samples, table
+from .base import HOUR, K, S, permutation_sql, micros, query, r6, rounded, samples, table
 
 R = lambda x: f"round({x}, 6) + 0.0"
 W = "window w as (partition by recording_id order by t, sample_index)"
@@ -156,7 +156,10 @@ def paired_blocks(spark, sf_dir):
     return r6(side(0, "even_mean").join(side(1, "odd_mean"), "block").withColumn("difference", F.col("odd_mean") - F.col("even_mean")))
 
 
-@query()
+@query(f"""with x as (select l_returnflag as g, strftime(l_shipdate, '%Y-%m') as b, unnest([{{'f': 'price', 'm': 'l_extendedprice', 'v': l_extendedprice}}, {{'f': 'price', 'm': 'l_discount', 'v': l_discount}}, {{'f': 'size', 'm': 'l_quantity', 'v': l_quantity}}, {{'f': 'tax', 'm': 'l_tax', 'v': l_tax}}]) as u from lineitem),
+y as (select u.f as family, u.m as metric, g, b, u.v as v from x), {permutation_sql('y', ['family', 'metric'], 'A', 'R', 99)},
+k as (select *, row_number() over (partition by family order by p) as rk, count(*) over (partition by family) as m from tested), a as (select *, least(1.0, min(p * m / rk) over (partition by family order by rk rows between current row and unbounded following)) as adj from k)
+select family, metric, {R('difference')} as difference, {R('p')} as p, {R('adj')} as p_adjusted, adj <= 0.05 as significant from a""")
 def family_comparison(spark, sf_dir):
     """Three families of metrics, permutation p per metric, false-discovery control within each family."""
     lines = table(spark, sf_dir, "lineitem").withColumn("block", F.date_format("l_shipdate", "yyyy-MM"))

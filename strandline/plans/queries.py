@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import frame_queries, gaze_queries, more_queries, stream_queries, table_queries
+from . import extra_queries, frame_queries, gaze_queries, more_queries, stream_queries, table_queries
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "frame_queries", "gaze_queries", "more_queries", "stream_queries", "table_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "extra_queries", "frame_queries", "gaze_queries", "more_queries", "stream_queries", "table_queries"]

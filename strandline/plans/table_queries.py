@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..operators import events, islands, labels, quality, select, spatial, stats
-from .base import HOUR, KS, K, S, query, r6, rounded, samples, table
+from .base import DRAW, HOUR, KS, K, S, permutation_sql, query, r6, rounded, samples, table
 
 R = lambda x: f"round({x}, 6) + 0.0"
 W = "window w as (partition by recording_id order by t, sample_index)"
@@ -354,9 +354,13 @@ def overlap_resolution(spark, sf_dir):
     return r6(labels.resolve_overlap(lines, ["l_orderkey"], "l_quantity", "l_extendedprice", "l_linenumber").drop("l_extendedprice"))
 
 
-@query()
+@query("""with recursive o as (select p_brand, p_partkey as box_id, p_retailprice as score, (p_partkey % 50)::double as x0, (p_partkey % 37)::double as y0, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as rn from part),
+g as (select distinct p_brand, 0::bigint as i, []::struct(x double, y double, id bigint)[] as kept from part union all
+  select o.p_brand, o.rn, case when len(list_filter(kept, lambda k: greatest(0, 10 - abs(k.x - x0)) * greatest(0, 10 - abs(k.y - y0)) > 0.5 * (200 - greatest(0, 10 - abs(k.x - x0)) * greatest(0, 10 - abs(k.y - y0))))) > 0 then kept else list_append(kept, {'x': x0, 'y': y0, 'id': box_id}) end
+  from g join o on o.p_brand = g.p_brand and o.rn = g.i + 1),
+l as (select p_brand, max(i) as i from g group by p_brand), k as (select g.p_brand, unnest(kept).id as box_id from g join l using (p_brand, i))
+select p_brand, box_id, score, x0, y0, x0 + 10 as x1, y0 + 10 as y1 from o join k using (p_brand, box_id)""")
 def box_suppression(spark, sf_dir):
-    """Boxes from parts: greedy suppression is sequential, so a test holds it against brute force."""
     p = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("box_id"), F.col("p_retailprice").alias("score"), (F.col("p_partkey") % 50).cast("double").alias("x0"), (F.col("p_partkey") % 37).cast("double").alias("y0"))
     return labels.nms(p.withColumns({"x1": F.col("x0") + 10, "y1": F.col("y0") + 10}), ["p_brand"], 0.5)
 
@@ -364,7 +368,17 @@ def box_suppression(spark, sf_dir):
 VOCAB = [("metal", "steel"), ("metal", "brass plated"), ("light", "pale almond"), ("dark", "midnight black"), ("warm", "red rose"), ("warm", "hot orange")]
 
 
-@query()
+TOKENS = lambda x: f"list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> '')"
+
+
+@query(f"""with vo(class_name, phrase) as (values {', '.join(map(str, VOCAB))}), v as (select class_name, list_distinct({TOKENS('phrase')}) as vt, array_to_string({TOKENS('phrase')}, ' ') as vk from vo),
+n as (select count(*) as big from vo), w as (select tok, ln((any_value(big) + 1) / (count(*) + 0.5)) + 0.1 as w from (select unnest(vt) as tok from v), n group by tok),
+own as (select p_partkey, list_distinct({TOKENS('p_name')}) as pt, array_to_string({TOKENS('p_name')}, ' ') as pk from part), mine as (select p_partkey, tok, coalesce(w, ln(big + 1) + 0.8) as w from (select p_partkey, unnest(pt) as tok from own) left join w using (tok), n),
+mt as (select p_partkey, sum(w) as mine from mine group by 1), th as (select class_name, vk, tok, w from (select class_name, vk, unnest(vt) as tok from v) join w using (tok)), tt as (select class_name, vk, sum(w) as theirs from th group by all),
+sh as (select p_partkey, class_name, vk, sum(mine.w) as shared from mine join th using (tok) group by all),
+sc as (select p_partkey, class_name, max(case when pk = vk then 1.0::double else least(0.99, shared / (mine + theirs - shared)) end) as score from sh join mt using (p_partkey) join tt using (class_name, vk) join own using (p_partkey) group by all),
+rk as (select *, row_number() over x as rn, lead(score) over x as nxt from sc window x as (partition by p_partkey order by score desc, class_name))
+select p_partkey, case when coalesce(score, 0) >= 0.5 then class_name end as class_name, {R('coalesce(score, 0)')} as score, case when coalesce(score, 0) < 0.5 then 'none' when score < 1 and score - coalesce(nxt, 0) < 0.06 then 'ambiguous' else 'mapped' end as verdict from own left join (select * from rk where rn = 1) using (p_partkey)""")
 def phrase_mapping(spark, sf_dir):
     vocabulary = spark.createDataFrame(VOCAB, "class_name string, phrase string")
     return r6(labels.map_phrases(table(spark, sf_dir, "part"), "p_partkey", "p_name", vocabulary))
@@ -394,17 +408,21 @@ def benjamini_hochberg(spark, sf_dir):
     return r6(stats.benjamini_hochberg(p, ["family"], "p").select("family", "p_partkey", "p_adjusted", "significant"))
 
 
-@query()
+R3 = lambda x: f"round({x}, 3) + 0.0"
+
+
+@query(f"""with s as (select o_orderpriority, strftime(o_orderdate, '%Y-%m') as b, sum(o_totalprice) as s, count(o_totalprice) as c from orders where o_totalprice is not null group by all), t as (select *, row_number() over (partition by o_orderpriority order by b) - 1 as slot, count(*) over (partition by o_orderpriority) as k from s),
+d as (select o_orderpriority, rep, {DRAW(1, 'rep', 'slot')} % k as slot from t, range(200) r(rep)), m as (select o_orderpriority, rep, sum(s) / sum(c) as m from d join t using (o_orderpriority, slot) group by all), q as (select o_orderpriority, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from m group by 1)
+select o_orderpriority, {R3('sum(s) / sum(c)')} as estimate, count(*) as n_blocks, case when count(*) >= 3 then {R3('any_value(lo)')} end as ci_low, case when count(*) >= 3 then {R3('any_value(hi)')} end as ci_high from t join q using (o_orderpriority) group by 1""")
 def block_bootstrap(spark, sf_dir):
-    """Intervals depend on the drawn blocks, which come from a hash that SQL engines don't share."""
     lines = table(spark, sf_dir, "orders").withColumn("block", F.date_format("o_orderdate", "yyyy-MM"))
-    return r6(stats.block_bootstrap(lines, ["o_orderpriority"], "o_totalprice", "block"))
+    return r6(stats.block_bootstrap(lines, ["o_orderpriority"], "o_totalprice", "block"), 3)
 
 
-@query()
+@query(f"""with x as (select o_orderpriority, o_orderstatus as g, strftime(o_orderdate, '%Y-%m') as b, o_totalprice as v from orders), {permutation_sql('x', ['o_orderpriority'], 'F', 'P', 200)} select o_orderpriority, {R3('difference')} as difference, {R3('p')} as p from tested""")
 def block_permutation(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn("block", F.date_format("o_orderdate", "yyyy-MM"))
-    return r6(stats.block_permutation(orders, ["o_orderpriority"], "o_orderstatus", "F", "P", "o_totalprice", "block"))
+    return r6(stats.block_permutation(orders, ["o_orderpriority"], "o_orderstatus", "F", "P", "o_totalprice", "block"), 3)
 
 
 # --- selection
@@ -416,13 +434,20 @@ def top_per_group(spark, sf_dir):
     return r6(select.top_k(customers, ["c_nationkey"], [F.desc("c_acctbal"), F.col("c_custkey")], 5))
 
 
-@query()
+@query(f"""with recursive {S}, g as (select distinct recording_id, 0 as step, []::bigint[] as taken, []::bigint[] as ids from s union all
+  select recording_id, step + 1, list_append(taken, t), list_append(ids, sample_index) from (select g.*, s.t, s.sample_index, row_number() over (partition by g.recording_id order by s.value desc, s.sample_index) as rn
+    from g join s on s.recording_id = g.recording_id where step < 5 and len(list_filter(taken, lambda x: abs(x - s.t) < {48 * HOUR})) = 0) where rn = 1),
+l as (select recording_id, max(step) as step from g group by 1) select s.recording_id, s.sample_index, s.t, {R('s.value')} as value from (select recording_id, unnest(ids) as sample_index from g join l using (recording_id, step)) join s using (recording_id, sample_index)""")
 def spaced_top(spark, sf_dir):
     df = samples(spark, sf_dir).select("recording_id", "sample_index", "t", "value")
     return r6(select.spaced_top_k(df, K, "value", "t", 48 * HOUR, 5, "sample_index"))
 
 
-@query()
+@query("""with recursive p as (select lang, doc_id, n_chars::double as priority, list_filter(['source:' || source, 'quality:' || quality, case when n_chars > 5000 then 'long' end], lambda x: x is not null) as strata from documents join labels using (doc_id)),
+g as (select distinct lang, 0 as step, []::varchar[] as covered, []::bigint[] as ids from p union all
+  select lang, step + 1, list_concat(covered, strata), list_append(ids, doc_id) from (select g.*, p.doc_id, p.strata, row_number() over (partition by g.lang order by len(list_filter(p.strata, lambda x: not list_contains(covered, x))) desc, priority desc, p.doc_id) as rn, len(list_filter(p.strata, lambda x: not list_contains(covered, x))) as new
+    from g join p on p.lang is not distinct from g.lang where step < 30) where rn = 1 and new > 0),
+l as (select lang, max(step) as step from g group by 1) select k.lang, doc_id, priority, strata from (select g.lang, unnest(ids) as doc_id from g join l on g.lang is not distinct from l.lang and g.step = l.step) k join p using (doc_id)""")
 def greedy_coverage(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     strata = F.array_compact(F.array(F.concat(F.lit("source:"), "source"), F.concat(F.lit("quality:"), F.col("quality").cast("string")), F.when(F.col("n_chars") > 5000, F.lit("long"))))
@@ -454,7 +479,7 @@ def weighted_score(spark, sf_dir):
     return r6(part.join(F.broadcast(bounds), how="cross").select("p_partkey", (0.7 * scaled("p_size", "a", "b") + 0.3 * scaled("p_retailprice", "c", "d")).alias("score")))
 
 
-@query()
+@query(f"""with x as (select doc_id, source, {DRAW(0, 'source')} % 1000000 / 1000000 as place from documents) select doc_id, source, case when place < 0.8 then 'train' when place < 0.9 then 'val' else 'test' end as part from x""")
 def split_by_group(spark, sf_dir):
     return select.group_split(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", {"train": 0.8, "val": 0.1, "test": 0.1})
 
@@ -467,7 +492,11 @@ def balanced_sample(spark, sf_dir):
 # --- causal state
 
 
-@query()
+@query(f"""with recursive {S}, o as (select *, row_number() over (partition by recording_id order by t, sample_index) as rn from s),
+g as (select distinct recording_id, 0::bigint as rn, null::bigint as t, null::bigint as sample_index, false as "on", 0 as age, 0 as reset from s union all
+  select recording_id, rn, t, sample_index, on1 and age1 <= 3, age1, reset from (select *, case when value >= 100 then true when value < 20 then false else on0 end as on1, case when value >= 100 then 0 when value < 20 then age0 else age0 + 1 end as age1
+    from (select *, case when reset > 0 then false else was end as on0, case when reset > 0 then 0 else held end as age0 from (select o.*, g."on" as was, g.age as held, case when g.t is null then 1 when o.t <= g.t then 4 when o.t - g.t > {24 * HOUR} then 5 else 0 end as reset from g join o on o.recording_id = g.recording_id and o.rn = g.rn + 1))))
+select recording_id, t, sample_index, "on", age, reset from g where rn > 0""")
 def causal_state(spark, sf_dir):
     from ..streaming.machine import state_machine
 
