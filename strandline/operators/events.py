@@ -5,28 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import all_reasons
 from .interval import within
-from .islands import run_table
+from .islands import ordered
 
 
 def detect(df: DataFrame, keys: list[str], rules: dict[str, Column], min_s: float = 0.0, time: str = "t", order: str = "sample_index") -> DataFrame:
     """One event per run of each rule: kind, start, end, duration_s and an id kind_000 by start within kind."""
-    found = None
-    for kind, flag in rules.items():
-        table = run_table(df, keys, flag, time, order).where(F.col("duration_s") >= min_s).withColumn("kind", F.lit(kind)).drop("run_id")
-        found = table if found is None else found.unionByName(table)
+    w = ordered(keys, time, order)
+    on = {kind: F.coalesce(flag, F.lit(False)) for kind, flag in rules.items()}
+    # All rules' runs come from one sort; only rows in a run are told apart by rule, and the keys' partitioning serves the grouping.
+    rows = df.withColumns({f"_on{i}": flag for i, flag in enumerate(on.values())})
+    new = [(~F.col(f"_on{i}").eqNullSafe(F.lag(f"_on{i}").over(w))).cast("int") for i in range(len(on))]
+    rows = rows.withColumns({f"_new{i}": c for i, c in enumerate(new)})
+    run = [F.sum(f"_new{i}").over(w.rowsBetween(Window.unboundedPreceding, 0)) for i in range(len(on))]
+    rows = rows.withColumns({f"_run{i}": c for i, c in enumerate(run)})
+    each = F.array(*[F.when(F.col(f"_on{i}"), F.struct(F.lit(kind).alias("kind"), F.col(f"_run{i}").alias("run"))) for i, kind in enumerate(on)])
+    told = rows.select(*keys, time, F.explode(F.array_compact(each)).alias("_r")).select(*keys, time, "_r.kind", "_r.run")
+    found = told.groupBy(*keys, "kind", "run").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n_samples")).drop("run")
+    found = found.withColumn("duration_s", (F.col("end") - F.col("start")) / 1e9).where(F.col("duration_s") >= min_s)
+    found = found.select(*keys, "start", "end", "n_samples", "duration_s", "kind")
     w = Window.partitionBy(*keys, "kind").orderBy("start")
     return found.withColumn("event_name", F.format_string("%s_%03d", "kind", F.row_number().over(w)))
 
 
-def windows(events: DataFrame, spec: DataFrame, spans: DataFrame, keys: list[str], event_id: str, contaminating: list[str] | None = None, bucket_ns: int = 60_000_000_000) -> DataFrame:
+def windows(events: DataFrame, spec: DataFrame, spans: DataFrame, keys: list[str], event_id: str, contaminating: list[str] | None = None, bucket_ns: int = 60_000_000_000, reasons: bool = False) -> DataFrame:
     """Windows of each event from spec(name, from_s, to_s).
 
     Offsets from 0 on are laid at the event's end, others at its start (so is the window named
     ``event``). Windows are clipped to the recording of ``spans(start0, end0)``, and trimmed by
     other families' contaminating events between the window's far end and the event. Only what
     overlaps a window can trim it, so both meet in buckets of bucket_ns; choose it near the
-    windows' length.
+    windows' length. With ``reasons`` a column tells what clipped a window.
     """
     at_end = (F.col("from_s") >= 0) & (F.col("window") != "event")
     anchor = F.when(at_end, F.col("end")).otherwise(F.col("start"))
@@ -43,9 +53,16 @@ def windows(events: DataFrame, spec: DataFrame, spans: DataFrame, keys: list[str
         after = F.min(F.when((F.col("_s") >= F.col("end")) & (F.col("_e") > F.col("a")) & (F.col("_s") < F.col("b")), F.col("_s")))
         trims = cross.groupBy(*keys, event_id, "window").agg(before.alias("trim_a"), after.alias("trim_b"))
         laid = laid.join(trims, [*keys, event_id, "window"], "left").withColumns({"a": F.greatest("a", "trim_a"), "b": F.least("b", "trim_b")})
+    else:
+        laid = laid.withColumns({"trim_a": F.lit(None).cast("long"), "trim_b": F.lit(None).cast("long")})
     laid = laid.withColumn("b", F.greatest("a", "b"))
     clipped = (F.col("a") != F.col("want_a")) | (F.col("b") != F.col("want_b"))
-    return laid.select(*keys, event_id, "kind", "window", F.col("a").alias("start"), F.col("b").alias("end"), clipped.alias("clipped"))
+    why = all_reasons([
+        (F.col("start0") > F.col("want_a"), "recording starts later"), (F.col("end0") < F.col("want_b"), "recording ends earlier"),
+        (F.coalesce(F.col("trim_a") > F.greatest("want_a", "start0"), F.lit(False)), "event of another kind before"), (F.coalesce(F.col("trim_b") < F.least("want_b", "end0"), F.lit(False)), "event of another kind after"),
+    ])
+    out = laid.select(*keys, event_id, "kind", "window", F.col("a").alias("start"), F.col("b").alias("end"), clipped.alias("clipped"), why.alias("clip_reason"))
+    return out if reasons else out.drop("clip_reason")
 
 
 def summarise(laid: DataFrame, samples: DataFrame, keys: list[str], event_id: str, value: str, bucket_ns: int, least: int = 2) -> DataFrame:

@@ -128,7 +128,7 @@ def map_phrases(df: DataFrame, phrase_id: str, phrase: str, vocabulary: DataFram
     return out.select(phrase_id, F.when(F.coalesce("score", F.lit(0.0)) >= least, F.col("class_name")).alias("class_name"), F.coalesce("score", F.lit(0.0)).alias("score"), verdict.alias("verdict"))
 
 
-def agreement(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+def class_agreement(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Two methods' labels of the same places: per class intersection, union and their ratio, and agreement where both have one."""
     pair = F.array_distinct(F.array_compact(F.array(a, b)))
     by = df.withColumn("class_name", F.explode(pair)).groupBy(*keys, "class_name").agg(F.count_if(F.col(a) == F.col(b)).alias("intersection"), F.count("*").alias("union"))

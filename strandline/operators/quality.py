@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import quantiles
+
 
 def stored(keys: list[str], order: str = "sample_index"):
     """Storage order: rates and gaps look at samples as they were written, so that disorder shows."""
@@ -82,7 +84,7 @@ def flicker(df: DataFrame, keys: list[str], present, time: str = "t", order: str
 
 def outliers(df: DataFrame, keys: list[str], value: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Rows strictly beyond the key's own quantiles, with a severity from 0 to 1 by rank of excess."""
-    q = df.groupBy(*keys).agg(F.percentile(value, low).alias("q_low"), F.percentile(value, high).alias("q_high"))
+    q = quantiles(df, keys, value, {"q_low": low, "q_high": high})
     flag = F.when(F.col(value) > F.col("q_high"), "high").when(F.col(value) < F.col("q_low"), "low")
     span = F.col("q_high") - F.col("q_low")
     excess = F.when(F.col(value) > F.col("q_high"), F.col(value) - F.col("q_high")).otherwise(F.col("q_low") - F.col(value))

@@ -26,11 +26,57 @@ def linear_fit(y: str, x: str, least: int = 32) -> list[Column]:
     return [F.when(ok, f).alias(n) for f, n in ((F.regr_slope(y, x), "slope"), (F.regr_intercept(y, x), "icept"), (F.regr_r2(y, x), "r2"), (F.corr(y, x), "pearson"))]
 
 
+#: Parts that a key's values are cut into, so that no task sorts a whole key.
+PARTS = 64
+
+
+def cut_up(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """df with ``_part``: 0 to PARTS by approximate quantiles of the key's values, rising with the value; equal values share a part.
+
+    The cuts are one row a key. Up to 10,000 keys they are broadcast; with more keys no key needs it.
+    """
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, [i / PARTS for i in range(1, PARTS)], 20 * PARTS).alias("_cuts"))
+    few = cuts.select(*keys).limit(10_001).count() <= 10_000
+    placed = df.join(F.broadcast(cuts) if few else cuts, keys)
+    return placed.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+
+
+def before(parts: DataFrame, keys: list[str], amount: Column) -> DataFrame:
+    """(keys, _part, _before, _total): the amount in all lower parts, and in all, from at most PARTS sums a key."""
+    sums = parts.groupBy(*keys, "_part").agg(amount.alias("_sum"))
+    w = Window.partitionBy(*keys)
+    below = F.coalesce(F.sum("_sum").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sums.select(*keys, "_part", below.alias("_before"), F.sum("_sum").over(w).alias("_total"))
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Exact quantiles per key, interpolated linearly, without a whole key's values in one task.
+
+    Counts of the parts tell which of them hold the ranks; only these are sorted.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    placed = cut_up(rows, keys, "_v")
+    spot = lambda q: (F.col("_total") - 1) * F.lit(float(q))
+    ranks = F.array_distinct(F.array(*[f(spot(q)).cast("long") for q in at.values() for f in (F.floor, F.ceil)]))
+    known = before(placed, keys, F.count("*")).select(*keys, "_part", "_before", "_total", ranks.alias("_ranks"))
+    within = Window.partitionBy(*keys, "_part").orderBy("_v")
+    size = F.lead("_before", 1).over(Window.partitionBy(*keys).orderBy("_part"))
+    known = known.withColumn("_end", F.coalesce(size, F.col("_total"))).withColumn("_ranks", F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_end")))).where(F.size("_ranks") > 0)
+    hit = placed.join(known, [*keys, "_part"]).withColumn("_rank", F.col("_before") + F.row_number().over(within) - 1).where(F.array_contains("_ranks", F.col("_rank")))
+    found = hit.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_of"), F.first("_total").alias("_total"))
+    value_at = lambda f, q: F.try_element_at("_of", f(spot(q)).cast("long"))
+    return found.select(*keys, *[(value_at(F.floor, q) + (value_at(F.ceil, q) - value_at(F.floor, q)) * (spot(q) - F.floor(spot(q)))).alias(name) for name, q in at.items()])
+
+
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, order: str) -> DataFrame:
-    """Correlation of ordinal ranks: ties are ranked in ``order``."""
-    rank = lambda c: F.row_number().over(Window.partitionBy(*keys).orderBy(c, order)).cast("double")
-    some = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return some.withColumns({"_rx": rank(x), "_ry": rank(y)}).groupBy(*keys).agg(F.corr("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
+    """Correlation of ordinal ranks: ties are ranked in ``order``. Ranks count within parts of a key's values, and the parts below."""
+    some = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y, order)
+    for c, name in ((x, "_rx"), (y, "_ry")):
+        placed = cut_up(some, keys, c)
+        inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(c, order))
+        some = placed.withColumn("_inside", inside).join(before(placed, keys, F.count("*")), [*keys, "_part"])
+        some = some.withColumn(name, (F.col("_before") + F.col("_inside")).cast("double")).drop("_part", "_inside", "_before", "_total")
+    return some.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
 
 
 def cross_correlation(df: DataFrame, keys: list[str], x: str, y: str, most_lag: int, least: int = 8, time: str = "t", order: str = "sample_index") -> DataFrame:
@@ -45,13 +91,14 @@ def cross_correlation(df: DataFrame, keys: list[str], x: str, y: str, most_lag:
 
 
 def cliffs_delta(df: DataFrame, keys: list[str], group: str, a, b, value: str) -> DataFrame:
-    """(#a>b - #a<b) / (n m), from counts of smaller and equal values: one sort per key instead of all pairs."""
+    """(#a>b - #a<b) / (n m), from counts of smaller and equal values: sorts of a key's parts instead of all pairs."""
     some = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
     at = some.groupBy(*keys, value).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    below = F.coalesce(F.sum("nb").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("nb").over(Window.partitionBy(*keys))
-    won = at.select(*keys, "na", "nb", (F.col("na") * (below - (total - below - F.col("nb")))).alias("score"))
+    placed = cut_up(at, keys, value)
+    w = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("_before") + F.coalesce(F.sum("nb").over(w), F.lit(0))
+    counted = placed.join(before(placed, keys, F.sum("nb")), [*keys, "_part"])
+    won = counted.select(*keys, "na", "nb", (F.col("na") * (below - (F.col("_total") - below - F.col("nb")))).alias("score"))
     return won.groupBy(*keys).agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.try_divide(F.sum("score").cast("double"), (F.sum("na") * F.sum("nb")).cast("double")).alias("cliffs_delta"))
 
 

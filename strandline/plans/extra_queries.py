@@ -208,7 +208,7 @@ select c.lang, class_name, count(*) filter (a = b) as intersection, count(*) as
 def method_agreement(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
     said = docs.select("lang", F.col("quality").alias("a"), F.when(F.col("n_chars") > 200, 1 - F.col("toxic")).alias("b"))
-    return r6(labels.agreement(said, ["lang"], "a", "b"))
+    return r6(labels.class_agreement(said, ["lang"], "a", "b"))
 
 
 @query(f"""with f as (select l_orderkey, avg((l_returnflag <> 'N')::int) as c, count(distinct nullif(l_returnflag, 'N')) as n from lineitem group by 1) select count(*) as n_frames, {R('avg(c)')} as coverage, {R('avg(1 - c)')} as unknown, {R('avg(n)')} as classes_per_frame from f""")

@@ -19,7 +19,10 @@ W = "window w as (partition by recording_id order by t, sample_index)"
 @query(f"""with {S} select stream, count(value) as n, {R('avg(value)')} as mean, {R('stddev_samp(value)')} as sd, {R('quantile_cont(value, 0.05)')} as p05, {R('quantile_cont(value, 0.25)')} as p25, {R('quantile_cont(value, 0.5)')} as median,
 {R('quantile_cont(value, 0.75)')} as p75, {R('quantile_cont(value, 0.95)')} as p95, {R('min(value)')} as lowest, {R('max(value)')} as highest, {R('quantile_cont(value, 0.75) - quantile_cont(value, 0.25)')} as iqr from s group by stream""")
 def describe_values(spark, sf_dir):
-    return r6(samples(spark, sf_dir).groupBy("stream").agg(*stats.describe("value")))
+    df = samples(spark, sf_dir)
+    plain = df.groupBy("stream").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
+    at = stats.quantiles(df, ["stream"], "value", {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95})
+    return r6(plain.join(at, "stream").withColumn("iqr", F.col("p75") - F.col("p25")))
 
 
 @query(f"""select c_nationkey, count(*) as n, {R('avg(c_acctbal)')} as mean_balance, (select m.c_mktsegment from (select c_mktsegment, count(*) k from customer x where x.c_nationkey = c.c_nationkey group by 1 order by k desc, c_mktsegment limit 1) m) as modal_segment,
@@ -187,17 +190,22 @@ l as (select ev.recording_id, event_name, kind, win, ev.start as es, ev."end" as
 q as (select *, (anchor + fh * {HOUR})::bigint as wa, (anchor + th * {HOUR})::bigint as wb from l), q2 as (select *, greatest(wa, start0) as a, least(wb, end0) as b from q),
 tr as (select q2.recording_id, q2.event_name, q2.win, max(case when o."end" > a and o."end" <= es and o.start < b then o."end" end) as ta, min(case when o.start >= ee and o."end" > a and o.start < b then o.start end) as tb
 from q2 join ev o on o.recording_id = q2.recording_id and o.kind = 'high' and o.kind <> q2.kind group by all),
-z as (select q2.*, greatest(a, ta) as a2, least(b, tb) as b2 from q2 left join tr using (recording_id, event_name, win)), win as (select recording_id, event_name, kind, win as window, a2 as start, greatest(a2, b2) as "end", a2 <> wa or greatest(a2, b2) <> wb as clipped from z)"""
+z as (select q2.*, ta, tb, greatest(a, ta) as a2, least(b, tb) as b2 from q2 left join tr using (recording_id, event_name, win)), win as (select recording_id, event_name, kind, win as window, a2 as start, greatest(a2, b2) as "end", a2 <> wa or greatest(a2, b2) <> wb as clipped, nullif(concat_ws('; ', case when start0 > wa then 'recording starts later' end, case when end0 < wb then 'recording ends earlier' end, case when ta > greatest(wa, start0) then 'event of another kind before' end, case when tb < least(wb, end0) then 'event of another kind after' end), '') as why from z)"""
 
 
-def _windows(spark, sf_dir):
+def _windows(spark, sf_dir, reasons=False):
     df = samples(spark, sf_dir)
     spans = df.groupBy(*K).agg(F.min("t").alias("start0"), F.max("t").alias("end0"))
     spec = spark.createDataFrame([(n, 3600 * a, 3600 * b) for n, a, b in SPEC], "name string, from_s double, to_s double")
-    return events.windows(_events(spark, sf_dir), spec, spans, K, "event_name", ["high"], 24 * HOUR)
+    return events.windows(_events(spark, sf_dir), spec, spans, K, "event_name", ["high"], 24 * HOUR, reasons)
+
+
+@query(f'{LAID} select recording_id, event_name, "window", why as clip_reason from win')
+def window_clip_reasons(spark, sf_dir):
+    return _windows(spark, sf_dir, True).select("recording_id", "event_name", "window", "clip_reason")
 
 
-@query(f"{LAID} select * from win")
+@query(f"{LAID} select * exclude (why) from win")
 def event_windows(spark, sf_dir):
     return _windows(spark, sf_dir)
 
@@ -205,7 +213,7 @@ def event_windows(spark, sf_dir):
 SUMMARY = f"""{LAID}, sm as (select win.*, count(s.value) as n, case when count(s.value) >= 2 then avg(s.value) end as mean_value from win left join s on s.recording_id = win.recording_id and s.t between win.start and win."end" group by all)"""
 
 
-@query(f"{SUMMARY} select * exclude (mean_value), {R('mean_value')} as mean_value from sm")
+@query(f"{SUMMARY} select * exclude (mean_value, why), {R('mean_value')} as mean_value from sm")
 def event_window_means(spark, sf_dir):
     return r6(events.summarise(_windows(spark, sf_dir), samples(spark, sf_dir), K, "event_name", "value", 24 * HOUR))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 from pathlib import PurePosixPath
 
@@ -83,3 +84,57 @@ def stage(spark: SparkSession, path: str, config: dict, build: Callable[[], Data
 def remaining(all_keys: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that aren't done yet."""
     return all_keys.join(done.select(*keys), keys, "left_anti")
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path, size and modified of every file below root; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select("path", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified"))
+
+
+def hashed(spark: SparkSession, root: str, cache: DataFrame) -> DataFrame:
+    """path, size, modified and sha256 of every file below root; known ones come from cache(path, size, modified, sha256).
+
+    Only files that the cache doesn't have as they are now are read. Their paths go through the
+    driver, which lists files for any scan.
+    """
+    now, key = listing(spark, root), ["path", "size", "modified"]
+    known = now.join(cache.select(*key, "sha256"), key)
+    missing = [r["path"] for r in now.join(cache.select(*key), key, "left_anti").select("path").collect()]
+    if not missing:
+        return known
+    read = spark.read.format("binaryFile").load(missing)
+    fresh = read.select("path", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    return known.unionByName(fresh)
+
+
+def checksums(spark: SparkSession, root: str) -> DataFrame:
+    """name (the path below root) and sha256 of every file below root."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = PurePosixPath(root).name + "/"
+    return files.select(F.substring_index("path", base, -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+
+
+def changed_files(now: DataFrame, manifest: DataFrame) -> DataFrame:
+    """name and what happened to it since the manifest: added, removed or changed."""
+    both = now.alias("a").join(manifest.alias("b"), F.col("a.name") == F.col("b.name"), "full")
+    what = F.when(F.col("b.name").isNull(), "added").when(F.col("a.name").isNull(), "removed").when(F.col("a.sha256") != F.col("b.sha256"), "changed")
+    return both.select(F.coalesce("a.name", "b.name").alias("name"), what.alias("what")).where("what is not null")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: written beside its place, then renamed."""
+    jvm = spark.sparkContext._jvm
+    place, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+        out.hsync()
+    finally:
+        out.close()
+    if fs.exists(place):
+        fs.delete(place, False)
+    if not fs.rename(beside, place):
+        fs.delete(beside, False)
+        raise OSError(f"{path} can't be written")

@@ -271,3 +271,84 @@ def test_sources_and_sinks(spark, tmp_path):
     assert tables.remaining(df.select("id"), df.where("id = 1"), ["id"]).first().id == 2
     assert tables.dotted(tables.deep_merge({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}), "a.b") == 3
     assert tables.stable_hash({"b": 1, "a": 2}) == tables.stable_hash({"a": 2, "b": 1})
+
+
+def test_only_changed_files_are_hashed_again(spark, tmp_path):
+    for name, text in (("a.txt", "one"), ("b.txt", "two")):
+        (tmp_path / "files").mkdir(exist_ok=True)
+        (tmp_path / "files" / name).write_text(text)
+    empty = spark.createDataFrame([], "path string, size long, modified long, sha256 string")
+    first = tables.hashed(spark, str(tmp_path / "files"), empty)
+    first.write.parquet(str(tmp_path / "cache"))
+    marked = spark.read.parquet(str(tmp_path / "cache")).withColumn("sha256", F.lit("known"))
+    (tmp_path / "files" / "b.txt").write_text("three")
+    found = {r.path[-5:]: r.sha256 for r in tables.hashed(spark, str(tmp_path / "files"), marked).collect()}
+    assert found["a.txt"] == "known" and found["b.txt"] == __import__("hashlib").sha256(b"three").hexdigest()
+    assert tables.hashed(spark, str(tmp_path / "files"), first).count() == 2
+
+
+def test_checksums_tell_what_changed_and_small_files_are_whole(spark, tmp_path):
+    root = tmp_path / "package"
+    for name in ("keep", "change", "remove"):
+        tables.write_text(spark, str(root / f"{name}.txt"), name)
+    tables.checksums(spark, str(root)).write.parquet(str(tmp_path / "manifest"))
+    tables.write_text(spark, str(root / "change.txt"), "other")
+    tables.write_text(spark, str(root / "sub" / "new.txt"), "new")
+    (root / "remove.txt").unlink()
+    (root / ".remove.txt.crc").unlink(missing_ok=True)
+    assert (root / "change.txt").read_text() == "other" and not list(root.glob("*.tmp"))
+    found = {r.name: r.what for r in tables.changed_files(tables.checksums(spark, str(root)), spark.read.parquet(str(tmp_path / "manifest"))).collect()}
+    assert found == {"change.txt": "changed", "remove.txt": "removed", "sub/new.txt": "added"}
+
+
+def test_a_saved_state_goes_on_where_it_ended(spark, tmp_path):
+    rows = [(k, i, i * 10**9, float((i * 7 + k) % 23)) for k in range(4) for i in range(60)]
+    df = spark.createDataFrame(rows, "recording_id long, sample_index long, t long, value double")
+    options = {"up": 15.0, "down": 5.0, "gap_ns": 5 * 10**9, "ttl": 3}
+    whole = sorted(map(tuple, machine.state_machine(df, **options).collect()))
+    out, state = machine.advance(df.where("sample_index < 25 and recording_id < 3"), None, **options)
+    machine.save_state(state, str(tmp_path / "state"), options)
+    again = machine.load_state(spark, str(tmp_path / "state"), options)
+    rest, _ = machine.advance(df.where("sample_index >= 25 or recording_id = 3"), again, **options)
+    assert sorted(map(tuple, out.collect() + rest.collect())) == whole
+    with pytest.raises(ValueError, match="other settings"):
+        machine.load_state(spark, str(tmp_path / "state"), options | {"ttl": 4})
+
+
+def test_operators_can_be_added_by_name(spark):
+    @machine.register("doubled")
+    def doubled(df, by):
+        return df.withColumn("id", F.col("id") * by)
+
+    assert [r.id for r in machine.apply("doubled", spark.range(3), by=2).orderBy("id").collect()] == [0, 2, 4]
+    with pytest.raises(ValueError, match="taken"):
+        machine.register("doubled")(doubled)
+    with pytest.raises(ValueError, match="no operator"):
+        machine.apply("nothing", spark.range(1))
+    del machine.PLUGINS["doubled"]
+
+
+def test_windows_of_rows_and_grids_check_their_arguments(spark):
+    df = spark.createDataFrame([(1, i, i * 10**9) for i in range(10)] + [(2, i, (100 + i) * 10**9) for i in range(10)], "k long, sample_index long, t long")
+    ids = lambda **window: sorted(r.t // 10**9 for r in select.time_window(df, ["k"], "t", **window).collect())
+    assert ids(start_s=2.0, end_s=4.0) == [2, 3, 4, 102, 103, 104]
+    assert ids(start_ns=8 * 10**9, start_s=0.0, end_s=1.0) == [100, 101]  # an absolute start wins
+    assert len(ids()) == 20
+    for wrong in ({"start_ns": 5, "end_ns": 4}, {"start_s": -1.0}):
+        with pytest.raises(ValueError):
+            ids(**wrong)
+    assert asof.grid_frames(df, ["k"], None).count() == 20
+    assert sorted(r.sample_index for r in asof.grid_frames(df.where("k = 1"), ["k"], 4 * 10**9).collect()) == [0, 4, 8]
+    with pytest.raises(Exception, match="rise strictly"):
+        asof.grid_frames(df.unionByName(df), ["k"], 10**9).collect()
+
+
+def test_quantiles_and_ranks_without_whole_keys(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    rows = [(int(k), float(v)) for k, v in zip(draw.integers(0, 3, 3000), np.round(draw.lognormal(0, 2, 3000), 1))] + [(7, 1.5), (8, None)]
+    found = {r.k: r for r in stats.quantiles(spark.createDataFrame(rows, "k long, v double"), ["k"], "v", {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.99, "e": 1.0}).collect()}
+    assert set(found) == {0, 1, 2, 7}
+    for k, r in found.items():
+        assert np.allclose([r.a, r.b, r.c, r.d, r.e], np.quantile([v for q, v in rows if q == k], [0, 0.25, 0.5, 0.99, 1]))
