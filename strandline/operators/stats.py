@@ -27,18 +27,30 @@ def linear_fit(y: str, x: str, least: int = 32) -> list[Column]:
 
 
 #: Parts that a key's values are cut into, so that no task sorts a whole key.
-PARTS = 64
+PARTS = 32
 
 
-def cut_up(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """df with ``_part``: 0 to PARTS by approximate quantiles of the key's values, rising with the value; equal values share a part.
+def joined_on(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which NULL keys are equal."""
+    other = b.withColumnsRenamed({c: f"_other_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_other_{c}"))
+    return a.join(other, same, how).drop(*[f"_other_{c}" for c in on])
 
-    The cuts are one row a key. Up to 10,000 keys they are broadcast; with more keys no key needs it.
+
+def cut_up(df: DataFrame, keys: list[str], value: str, seen: DataFrame | None = None) -> DataFrame:
+    """df with ``_part``: 0 to PARTS - 1, rising with the value; equal values share a part.
+
+    Any cuts give right results; that the parts are about equal comes from quantiles of one row in
+    ten of ``seen`` (df). The cuts of up to 10,000 keys are broadcast; with more keys no key needs it.
     """
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, [i / PARTS for i in range(1, PARTS)], 20 * PARTS).alias("_cuts"))
-    few = cuts.select(*keys).limit(10_001).count() <= 10_000
-    placed = df.join(F.broadcast(cuts) if few else cuts, keys)
-    return placed.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    cuts = (seen if seen is not None else df).sample(0.1, 7).groupBy(*keys).agg(F.percentile_approx(value, [i / PARTS for i in range(1, PARTS)], 10 * PARTS).alias("_cuts"))
+    few = cuts.limit(10_001).collect()
+    if len(few) <= 10_000:
+        cuts = F.broadcast(df.sparkSession.createDataFrame(few, cuts.schema))
+    placed = joined_on(df, cuts, keys, "left")
+    return placed.withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))).drop("_cuts")
 
 
 def before(parts: DataFrame, keys: list[str], amount: Column) -> DataFrame:
@@ -62,7 +74,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float])
     within = Window.partitionBy(*keys, "_part").orderBy("_v")
     size = F.lead("_before", 1).over(Window.partitionBy(*keys).orderBy("_part"))
     known = known.withColumn("_end", F.coalesce(size, F.col("_total"))).withColumn("_ranks", F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_end")))).where(F.size("_ranks") > 0)
-    hit = placed.join(known, [*keys, "_part"]).withColumn("_rank", F.col("_before") + F.row_number().over(within) - 1).where(F.array_contains("_ranks", F.col("_rank")))
+    hit = joined_on(placed, known, [*keys, "_part"]).withColumn("_rank", F.col("_before") + F.row_number().over(within) - 1).where(F.array_contains("_ranks", F.col("_rank")))
     found = hit.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_of"), F.first("_total").alias("_total"))
     value_at = lambda f, q: F.try_element_at("_of", f(spot(q)).cast("long"))
     return found.select(*keys, *[(value_at(F.floor, q) + (value_at(F.ceil, q) - value_at(F.floor, q)) * (spot(q) - F.floor(spot(q)))).alias(name) for name, q in at.items()])
@@ -74,7 +86,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, order: str) -> Data
     for c, name in ((x, "_rx"), (y, "_ry")):
         placed = cut_up(some, keys, c)
         inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(c, order))
-        some = placed.withColumn("_inside", inside).join(before(placed, keys, F.count("*")), [*keys, "_part"])
+        some = joined_on(placed.withColumn("_inside", inside), before(placed, keys, F.count("*")), [*keys, "_part"])
         some = some.withColumn(name, (F.col("_before") + F.col("_inside")).cast("double")).drop("_part", "_inside", "_before", "_total")
     return some.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
 
@@ -94,10 +106,10 @@ def cliffs_delta(df: DataFrame, keys: list[str], group: str, a, b, value: str) -
     """(#a>b - #a<b) / (n m), from counts of smaller and equal values: sorts of a key's parts instead of all pairs."""
     some = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
     at = some.groupBy(*keys, value).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb"))
-    placed = cut_up(at, keys, value)
+    placed = cut_up(at, keys, value, some)
     w = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("_before") + F.coalesce(F.sum("nb").over(w), F.lit(0))
-    counted = placed.join(before(placed, keys, F.sum("nb")), [*keys, "_part"])
+    counted = joined_on(placed, before(placed, keys, F.sum("nb")), [*keys, "_part"])
     won = counted.select(*keys, "na", "nb", (F.col("na") * (below - (F.col("_total") - below - F.col("nb")))).alias("score"))
     return won.groupBy(*keys).agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.try_divide(F.sum("score").cast("double"), (F.sum("na") * F.sum("nb")).cast("double")).alias("cliffs_delta"))
 
