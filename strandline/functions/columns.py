@@ -79,6 +79,18 @@ def segment_projection(px: Column, py: Column, ax: Column, ay: Column, bx: Colum
     return F.hypot(px - (ax + t * dx), py - (ay + t * dy)), t
 
 
+def menger(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
+    """Curvature of the circle through three points: 0 where two of them coincide, NULL where one is NULL."""
+    area2 = F.abs((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+    sides = F.hypot(bx - ax, by - ay) * F.hypot(cx - bx, cy - by) * F.hypot(cx - ax, cy - ay)
+    return F.when(area2.isNotNull(), F.coalesce(F.try_divide(2 * area2, sides), F.lit(0.0)))
+
+
+def turn_deg(a: Column, b: Column) -> Column:
+    """Angle between two directions, 0 to 180."""
+    return F.abs(wrap_degrees(a - b))
+
+
 def circular_mean_deg(angle: Column) -> Column:
     """Aggregate: mean direction in [0, 360)."""
     return F.pmod(F.degrees(F.atan2(F.avg(F.sin(F.radians(angle))), F.avg(F.cos(F.radians(angle))))), F.lit(360.0))

@@ -29,6 +29,54 @@ def detect(df: DataFrame, keys: list[str], rules: dict[str, Column], min_s: floa
     return found.withColumn("event_name", F.format_string("%s_%03d", "kind", F.row_number().over(w)))
 
 
+#: Kinds raised where a matched track comes near a feature: column of the distance, kind, metres.
+NEAR = [("distance_to_junction_m", "junction_crossing", 30.0), ("distance_to_signals_m", "traffic_signals", 40.0), ("distance_to_crossing_m", "pedestrian_crossing", 25.0)]
+
+
+def road_events(matched: DataFrame, keys: list[str], bend: float = 0.02, slow: float = 0.5, least_s: float = 1.0, near: list[tuple[str, str, float]] = NEAR, time: str = "t", order: str = "sample_index") -> DataFrame:
+    """Events that the map and the speed define: kind, start, end, peak, and progress, way and class at the peak.
+
+    ``matched`` has route_progress_m, way_id, road_class, is_roundabout, curvature, speed_mps and the
+    distances of ``near``; NULL raises nothing. An event ends at the first sample after its run, or
+    the last sample. Its peak is the nearest sample to a feature, the sharpest of a curve, the middle
+    of a roundabout or a straight, the first of a stop; the first of equals. Curves and straights last
+    ``least_s`` at least. A junction's approach ends at the crossing's peak. A change of class is
+    raised where a sample has one and the sample before another or none.
+    """
+    w = ordered(keys, time, order)
+    curve = F.abs("curvature")
+    # family: (flag, what is least at the peak)
+    runs = {"roundabout": (F.col("is_roundabout"), None)} | {kind: (F.col(c) <= limit, F.col(c)) for c, kind, limit in near}
+    runs |= {"curve": (curve >= bend, -curve), "straight": (curve < bend, None), "stop": (F.col("speed_mps") < slow, None)}
+    here = F.struct(F.col(time).alias("t"), F.col("route_progress_m").alias("progress"), F.col("way_id").alias("way"), F.col("road_class").alias("cls"))
+    rows = matched.withColumns({"_n": F.row_number().over(w), "_here": here} | {f"_on{i}": F.coalesce(flag, F.lit(False)) for i, (flag, _) in enumerate(runs.values())})
+    rows = rows.withColumns({"_next": F.lead("_here").over(w), "_then": F.lead(time, 2).over(w), "_back": F.lag("_here").over(w)} | {f"_new{i}": (~F.col(f"_on{i}").eqNullSafe(F.lag(f"_on{i}").over(w))).cast("int") for i in range(len(runs))})
+    rows = rows.withColumns({f"_run{i}": F.sum(f"_new{i}").over(w.rowsBetween(Window.unboundedPreceding, 0)) for i in range(len(runs))})
+    rows = rows.withColumns({"_end": F.coalesce("_next.t", time), "_far": F.coalesce("_then", "_next.t", time)})
+
+    event = lambda kind, start, end, peak: F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), peak.alias("at"))
+    each = F.array(*[F.when(F.col(f"_on{i}"), F.struct(F.lit(kind).alias("family"), F.col(f"_run{i}").alias("run"), (F.lit(None) if least is None else least).cast("double").alias("least"))) for i, (kind, (_, least)) in enumerate(runs.items())])
+    told = rows.select(*keys, F.struct("_n", "_here", "_next", "_end", "_far").alias("r"), F.explode(F.array_compact(each)).alias("f")).select(*keys, "f.*", "r")
+    # The row in the middle needs the run's length: one pass over the run's rows, which spill.
+    run = Window.partitionBy(*keys, "family", "run")
+    middle = F.col("r._n") == F.min("r._n").over(run) + F.floor(F.count("*").over(run) / 2)
+    found = told.withColumn("_m", middle).groupBy(*keys, "family", "run").agg(
+        F.min("r").alias("a"), F.max("r").alias("b"), F.min(F.struct("least", "r")).alias("best"), F.max(F.when(F.col("_m"), F.col("r"))).alias("mid"))
+    a, b, best, mid = (lambda part: F.col(f"a.{part}")), (lambda part: F.col(f"b.{part}")), (lambda part: F.col(f"best.r.{part}")), (lambda part: F.col(f"mid.{part}"))
+    start, end, peak = a("_here.t"), b("_end"), best("_here")
+    family = lambda kind: F.col("family") == kind
+    long = (b("_here.t") - start) / 1e9 >= least_s
+    events = [F.when(family("roundabout"), event(*e)) for e in (("roundabout_traverse", start, end, mid("_here")), ("roundabout_entry", start, a("_end"), a("_here")), ("roundabout_exit", b("_here.t"), end, b("_here")))]
+    events += [F.when(family(kind), event(kind, start, end, peak)) for _, kind, _ in near]
+    events += [F.when(family("junction_crossing"), event("junction_approach", start, F.when(best("_n") > a("_n"), best("_here.t")).otherwise(a("_end")), a("_here")))]
+    events += [F.when(family("curve") & long, event("curve", start, end, peak)), F.when(family("straight") & long, event("straight", start, end, mid("_here")))]
+    events += [F.when(family("stop"), event("stop", start, end, a("_here"))), F.when(family("stop") & b("_next").isNotNull(), event("restart", b("_here.t"), b("_far"), b("_next")))]
+    raised = found.select(*keys, F.explode(F.array_compact(F.array(*events))).alias("e"))
+    other = F.col("_back").isNotNull() & F.col("road_class").isNotNull() & ~F.col("road_class").eqNullSafe(F.col("_back.cls"))
+    raised = raised.unionByName(rows.where(other).select(*keys, event("road_class_change", F.col("_back.t"), F.col("_end"), F.col("_here")).alias("e")))
+    return raised.select(*keys, "e.kind", "e.start", "e.end", F.col("e.at.t").alias("peak"), F.col("e.at.progress").alias("route_progress_m"), F.col("e.at.way").alias("way_id"), F.col("e.at.cls").alias("road_class"))
+
+
 def windows(events: DataFrame, spec: DataFrame, spans: DataFrame, keys: list[str], event_id: str, contaminating: list[str] | None = None, bucket_ns: int = 60_000_000_000, reasons: bool = False) -> DataFrame:
     """Windows of each event from spec(name, from_s, to_s).
 

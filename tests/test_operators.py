@@ -189,6 +189,56 @@ def test_viterbi_is_the_best_of_all_sequences(spark):
     assert found == [p[5] for p in max(itertools.product(*frames_), key=score)]
 
 
+def test_viterbi_counts_shared_nodes_and_each_fix_s_accuracy(spark):
+    shared = {1: [7], 2: [7, 8], 3: None}
+    rows = [(1, i, i * SEC, 10.0 * i, 0.0, w, 0, float(d), 10.0 * i, acc, shared[w]) for i, acc in enumerate((5.0, 30.0, None, 12.0)) for w, d in ((1, 2 + 9 * i), (2, 14 - 4 * i), (3, 15 + i))]
+    df = spark.createDataFrame(rows, "recording_id long, sample_index long, t long, x double, y double, way_id long, seg int, distance_m double, along_m double, accuracy_m double, shared array<long>")
+    found = [r.way_id for r in mapmatch.decode(df, K, accuracy="accuracy_m").orderBy("sample_index").collect()]
+
+    def score(path):
+        s = sum(-0.5 * (p[7] / max(8, p[9] or 8)) ** 2 for p in path)
+        for a, b in zip(path, path[1:]):
+            extra = 5 if set(a[10] or ()) & set(b[10] or ()) else 60
+            s -= abs((abs(a[8] - b[8]) if a[5] == b[5] else 10 + extra) - 10) / 15
+        return s
+
+    best = max(itertools.product(*[[r for r in rows if r[1] == i] for i in range(4)]), key=score)
+    assert found == [p[5] for p in best] and len(set(found)) > 1
+
+
+def test_match_gates_and_follows_the_road(spark):
+    nodes = spark.createDataFrame([(0, 0.0, 0.0), (1, 100.0, 0.0), (2, 100.0, 100.0), (3, 0.0, 40.0), (4, 100.0, 40.0)], "node_id long, x double, y double")
+    ways = spark.createDataFrame([(10, [0, 1], True, "main"), (11, [1, 2], False, "side"), (12, [3, 4], False, "other")], "way_id long, nodes array<long>, oneway boolean, road_class string")
+    there = [(10.0 * i, 3.0) for i in range(10)] + [(103.0, 10.0 + 10 * i) for i in range(5)] + [(500.0, 500.0)]
+    back = [(x, y) for x, y in there[9::-1]]
+    rows = [(k, i, i * SEC, x, y, 10.0, None if i % 2 else 6.0) for k, path in ((1, there), (2, back)) for i, (x, y) in enumerate(path)]
+    # A poor fix looks farther, but what is beyond the radius isn't matched; a track without any road stays.
+    rows += [(3, 0, 0, 50.0, -45.0, 10.0, 30.0), (4, 0, 0, -900.0, 0.0, None, None), (5, 0, 0, None, None, None, None)]
+    fixes = spark.createDataFrame(rows, "recording_id long, sample_index long, t long, x double, y double, speed_mps double, accuracy_m double")
+    found = {(r.recording_id, r.sample_index): r for r in mapmatch.match(fixes, ways, nodes, K).collect()}
+    assert len(found) == len(rows)
+    assert [found[1, i].way_id for i in range(15)] == [10] * 10 + [11] * 5 and found[1, 14].road_class == "side" and found[1, 0].curvature is None
+    assert found[1, 15].reason == "no road near" and found[1, 15].way_id is None and found[1, 15].match_quality == 0
+    assert math.isclose(found[1, 9].route_progress_m, 90) and math.isclose(found[1, 10].route_progress_m, 95 + math.hypot(10, 10)) and found[1, 15].route_progress_m is None
+    assert not any(found[1, i].against_oneway for i in range(15)) and all(found[2, i].against_oneway for i in range(10)) and "against one way" in found[2, 0].warnings
+    assert (found[3, 0].reason, found[4, 0].reason, found[5, 0].reason) == ("too far from the road", "no road near", "no road near")
+    across = spark.createDataFrame([(1, i, i * SEC, 50.0, 5.0 * i, speed, 5.0) for i, speed in enumerate((10.0, 1.0))], fixes.schema)
+    assert [r.reason for r in mapmatch.match(across, ways.where("way_id = 10"), nodes, K).orderBy("sample_index").collect()] == ["turned from the road", "ok"]
+    assert mapmatch.match(fixes.limit(0), ways, nodes, K).isEmpty()
+
+
+def test_road_events_on_a_short_drive(spark):
+    rows = [(1, i, i * SEC, 2.0 * i, 7, c, bool(r), k, v, d) for i, (c, r, k, v, d) in enumerate([("a", 0, 0.0, 5.0, 50.0), ("a", 1, 0.05, 5.0, 20.0), (None, 1, 0.09, 0.1, 8.0), ("b", 1, 0.05, 5.0, 8.0), ("b", 0, None, 0.2, None)])]
+    df = spark.createDataFrame(rows, "recording_id long, sample_index long, t long, route_progress_m double, way_id long, road_class string, is_roundabout boolean, curvature double, speed_mps double, distance_to_junction_m double")
+    near = [("distance_to_junction_m", "junction_crossing", 30.0)]
+    found = {(r.kind, r.start // SEC, r.end // SEC, r.peak // SEC) for r in events.road_events(df, K, near=near).collect()}
+    assert found == {
+        ("roundabout_traverse", 1, 4, 2), ("roundabout_entry", 1, 2, 1), ("roundabout_exit", 3, 4, 3), ("junction_crossing", 1, 4, 2), ("junction_approach", 1, 2, 1),
+        ("curve", 1, 4, 2), ("stop", 2, 3, 2), ("restart", 2, 4, 3), ("stop", 4, 4, 4), ("road_class_change", 2, 4, 3),
+    }
+    assert events.road_events(df.limit(0), K, near=near).isEmpty()
+
+
 def test_cliffs_delta_and_permutation(spark):
     df = spark.createDataFrame([(1, g, float(v), b) for g, vs in (("a", [1, 2, 2, 5]), ("b", [1, 2, 3])) for b, v in enumerate(vs)], "k long, g string, v double, block long")
     want = sum((x > y) - (x < y) for x in (1, 2, 2, 5) for y in (1, 2, 3)) / 12
