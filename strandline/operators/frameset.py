@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import all_reasons, clip, first_reason, ratio
+from ..functions.columns import all_reasons, clip, first_reason, ratio, seconds_to_samples
 from .islands import runs
 
 
@@ -83,6 +83,74 @@ def failures(df: DataFrame, keys: list[str], blur: str, light: str, change: str)
     return rows.withColumns({"modes": reason, "severity": F.coalesce(severity, F.lit(0.0))}).where("modes is not null").drop("_b", "_d", "_g", "_c")
 
 
+#: The classes that the modes speak of.
+COCKPIT = ["mirror", "instrument_display", "control_and_ego_vehicle"]
+MOVING = ["vehicle", "two_wheeler", "pedestrian"]
+
+
+def failure_modes(frames: DataFrame, classes: DataFrame, keys: list[str], trail_s: float = 0.7, frame: str = "frame", time: str = "t") -> DataFrame:
+    """Candidate failures of a labelled run: frame, time, mode, label (NULL where no class is meant) and severity, 0 to 1.
+
+    ``frames`` has entropy, confidence, fallback, conflict, geometric, dense_fill, blur and change, and
+    whether a hand_visible and a hand_mask are there; ``classes`` a row for each frame and class with
+    its fraction and components, zeros included. Limits on entropy, confidence, fallback, blur, change
+    and components are the run's own quantiles. A trail is a moving class that shrinks below 0.4 of what
+    it was trail_s before, by the run's median rate, and doesn't go. NULL finds nothing.
+    """
+    w = Window.partitionBy(*keys).orderBy(frame)
+    step = F.percentile("_dt", 0.5)
+    steps = F.when(step > 0, seconds_to_samples(F.lit(trail_s), 1e9 / step)).otherwise(F.lit(5))
+    at = {"_entropy": ("entropy", 0.9), "_confidence": ("confidence", 0.1), "_fallback": ("fallback", 0.9), "_blur": ("blur", 0.15), "_change": ("change", 0.9)}
+    limits = frames.withColumn("_dt", F.col(time) - F.lag(time).over(w)).groupBy(*keys).agg(steps.alias("_k"), *[F.percentile(c, q).alias(name) for name, (c, q) in at.items()])
+    share = lambda *names: F.coalesce(F.sum(F.when(F.col("label").isin(*names), F.col("fraction"))), F.lit(0.0))
+    shares = classes.groupBy(*keys, frame).agg(share("road_surface").alias("_road"), share(*COCKPIT).alias("_cockpit"), share("mirror").alias("_mirror"), share("instrument_display").alias("_display"))
+    whole = frames.join(shares, [*keys, frame], "left").fillna(0.0, ["_road", "_cockpit", "_mirror", "_display"]).join(limits, keys)
+
+    visible, mask = F.coalesce("hand_visible", F.lit(False)), F.coalesce("hand_mask", F.lit(False))
+    whole = whole.withColumns({"_n": F.row_number().over(w), "_false": mask & ~visible})
+    whole = whole.withColumn("_held", F.col("_n") - F.coalesce(F.last(F.when(~F.col("_false"), F.col("_n")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    c = F.col
+    unsure, shaky = c("entropy") > c("_entropy"), c("confidence") < c("_confidence")
+    beyond = lambda value, limit, by: (value - limit) / F.greatest(by, F.lit(1e-6))
+    rules = [
+        ("missing_external_segmentation", (c("_road") < 0.02) & (c("dense_fill") > 0.15), c("dense_fill")),
+        ("high_entropy", unsure, beyond(c("entropy"), c("_entropy"), c("_entropy"))),
+        ("anomalous_confidence", shaky, beyond(c("_confidence"), c("confidence"), c("_confidence"))),
+        ("excessive_fallback", (c("fallback") > c("_fallback")) & (c("fallback") > 0.05), c("fallback")),
+        ("internal_external_fusion_error", c("conflict") > 0.5, c("conflict")),
+        ("cockpit_absorbed_by_external", (c("_cockpit") < 0.005) & (c("geometric") < 0.01), 1 - c("_cockpit") * 100),
+        ("mirror_not_detected", c("_mirror") <= 0, 0.5),
+        ("instrument_display_not_detected", c("_display") <= 0, 0.5),
+        ("blur_related_failure", (c("blur") < c("_blur")) & (F.coalesce(unsure, F.lit(False)) | F.coalesce(shaky, F.lit(False))), 0.6),
+        ("vibration_related_failure", (c("change") > c("_change")) & unsure, 0.6),
+        ("visible_hand_not_proposed", visible & ~mask, 0.6),
+        ("false_hand", c("_false"), 0.7),
+        ("hand_mask_propagated_after_disappearance", c("_false") & (c("_held") >= c("_k")), 0.8),
+    ]
+    none = F.lit(None).cast("string")
+
+    v = Window.partitionBy(*keys, "label").orderBy(frame)
+    # A trail is ``unit`` long whatever its rows, so one range frame serves every rate.
+    unit, slack = 1 << 36, 1 << 16
+    past = Window.partitionBy(*keys, "label").orderBy("_u")
+    per = classes.join(classes.groupBy(*keys, "label").agg(F.percentile("components", 0.92).alias("_parts")), [*keys, "label"]).join(limits.select(*keys, "_k"), keys)
+    per = per.withColumns({"_n": F.row_number().over(v), "_was": F.lag("fraction").over(v), "_will": F.lead("fraction").over(v)}).withColumn("_u", F.expr(f"_n * {unit}L div _k"))
+    since = past.rangeBetween(slack - unit, 0)
+    per = per.withColumns({"_start": F.first("fraction").over(past.rangeBetween(-slack - unit, 0)), "_least": F.min("fraction").over(since), "_most": F.max("fraction").over(since)})
+    trail = c("label").isin(MOVING) & (c("_n") > c("_k")) & (c("_start") > 0.01) & (c("_least") > 0) & (c("_most") < 0.4 * c("_start"))
+    of_class = [
+        ("fragmentation", (c("components") >= 8) & (c("components") > c("_parts")), c("components") / 40),
+        ("flicker", (c("_was") > 0.002) & (c("_will") > 0.002) & (c("fraction") <= 0), 0.5),
+        ("temporal_trail", trail, 0.5),
+    ]
+
+    def raised(df: DataFrame, found: list, label: Column) -> DataFrame:
+        each = F.array(*[F.when(holds, F.struct(F.lit(mode).alias("mode"), label.alias("label"), clip(F.lit(s) if isinstance(s, float) else s, 0.0, 1.0).cast("double").alias("severity"))) for mode, holds, s in found])
+        return df.select(*keys, frame, F.explode(F.array_compact(each)).alias("_e")).select(*keys, frame, "_e.*")
+
+    return raised(whole, rules, none).unionByName(raised(per, of_class, c("label")))
+
+
 def worst_runs(flagged: DataFrame, keys: list[str], frame: str, k: int) -> DataFrame:
     """The k longest runs of neighbouring flagged frames per key."""
     w = Window.partitionBy(*keys).orderBy(frame)

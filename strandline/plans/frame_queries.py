@@ -84,6 +84,36 @@ def frame_failures(spark, sf_dir):
     return r6(_failures(spark, sf_dir).select("l_returnflag", "l_orderkey", "l_linenumber", "modes", "severity"))
 
 
+#: Fractions and components of seven classes by the frame's number.
+LABELS = ["road_surface", "mirror", "instrument_display", "control_and_ego_vehicle", "vehicle", "two_wheeler", "pedestrian"]
+NAMED = " union all ".join(f"select {i} as j, '{name}' as label" for i, name in enumerate(LABELS))
+
+
+@query(f"""with {S}, fr as (select recording_id, sample_index as frame, t, value / 100 as entropy, 1 - value % 50 / 50 as confidence, value % 13 / 13 as fallback, value % 7 / 7 as conflict, value % 3 / 30 as geometric, value % 9 / 9 as dense_fill, value % 17 as blur, value % 19 as change, sample_index % 3 = 0 as visible, sample_index % 5 > 0 as mask from s),
+cl as (select recording_id, frame, label, case when frame * (j + 3) % 11 < 3 then 0 else frame * (j + 7) % 100 / 100 end as fraction, frame * (j + 5) % 30 as parts from fr cross join ({NAMED})),
+fd as (select *, t - lag(t) over (partition by recording_id order by frame) as dt from fr), lim as (select recording_id, (case when median(dt) > 0 then greatest(1, round_even(259200 * (1e9 / median(dt)), 0)) else 5 end)::bigint as k, quantile_cont(entropy, 0.9) as qe, quantile_cont(confidence, 0.1) as qc, quantile_cont(fallback, 0.9) as qf, quantile_cont(blur, 0.15) as qb, quantile_cont(change, 0.9) as qm from fd group by 1),
+sh as (select recording_id, frame, sum(fraction) filter (label = 'road_surface') as road, sum(fraction) filter (label in ('mirror', 'instrument_display', 'control_and_ego_vehicle')) as cockpit, sum(fraction) filter (label = 'mirror') as mirror, sum(fraction) filter (label = 'instrument_display') as display from cl group by all),
+a as (select *, row_number() over w as n, mask and not visible as wrong from fr join sh using (recording_id, frame) join lim using (recording_id) window w as (partition by recording_id order by frame)), b as (select *, n - coalesce(max(case when not wrong then n end) over (partition by recording_id order by frame), 0) as held from a),
+lp as (select recording_id, label, quantile_cont(parts, 0.92) as qp from cl group by all), c as (select cl.*, k, qp, row_number() over w as n, lag(fraction) over w as was, lead(fraction) over w as will from cl join lim using (recording_id) join lp using (recording_id, label) window w as (partition by recording_id, label order by frame)),
+tr as (select x.recording_id, x.label, x.frame from c x join c y on x.recording_id = y.recording_id and x.label = y.label and y.n between x.n - x.k and x.n where x.n > x.k and x.label in ('vehicle', 'two_wheeler', 'pedestrian') group by all having max(y.fraction) filter (y.n = x.n - x.k) > 0.01 and min(y.fraction) filter (y.n > x.n - x.k) > 0 and max(y.fraction) filter (y.n > x.n - x.k) < 0.4 * max(y.fraction) filter (y.n = x.n - x.k)),
+e as (select recording_id, frame, 'missing_external_segmentation' as mode, null as label, dense_fill as s from b where road < 0.02 and dense_fill > 0.15 union all select recording_id, frame, 'high_entropy', null, (entropy - qe) / greatest(qe, 1e-6) from b where entropy > qe union all select recording_id, frame, 'anomalous_confidence', null, (qc - confidence) / greatest(qc, 1e-6) from b where confidence < qc
+union all select recording_id, frame, 'excessive_fallback', null, fallback from b where fallback > qf and fallback > 0.05 union all select recording_id, frame, 'internal_external_fusion_error', null, conflict from b where conflict > 0.5 union all select recording_id, frame, 'cockpit_absorbed_by_external', null, 1 - cockpit * 100 from b where cockpit < 0.005 and geometric < 0.01
+union all select recording_id, frame, 'mirror_not_detected', null, 0.5 from b where mirror <= 0 union all select recording_id, frame, 'instrument_display_not_detected', null, 0.5 from b where display <= 0 union all select recording_id, frame, 'blur_related_failure', null, 0.6 from b where blur < qb and (entropy > qe or confidence < qc)
+union all select recording_id, frame, 'vibration_related_failure', null, 0.6 from b where change > qm and entropy > qe union all select recording_id, frame, 'visible_hand_not_proposed', null, 0.6 from b where visible and not mask union all select recording_id, frame, 'false_hand', null, 0.7 from b where wrong union all select recording_id, frame, 'hand_mask_propagated_after_disappearance', null, 0.8 from b where wrong and held >= k
+union all select recording_id, frame, 'fragmentation', label, parts / 40 from c where parts >= 8 and parts > qp union all select recording_id, frame, 'flicker', label, 0.5 from c where was > 0.002 and will > 0.002 and fraction <= 0 union all select recording_id, frame, 'temporal_trail', label, 0.5 from tr)
+select recording_id, frame, mode, label, {R('least(1, greatest(0, s::double))')} as severity from e""")
+def failure_modes(spark, sf_dir):
+    i, v = F.col("sample_index"), F.col("value")
+    frames = samples(spark, sf_dir).select(
+        "recording_id", i.alias("frame"), "t", (v / 100).alias("entropy"), (1 - v % 50 / 50).alias("confidence"), (v % 13 / 13).alias("fallback"), (v % 7 / 7).alias("conflict"), (v % 3 / 30).alias("geometric"),
+        (v % 9 / 9).alias("dense_fill"), (v % 17).alias("blur"), (v % 19).alias("change"), (i % 3 == 0).alias("hand_visible"), (i % 5 > 0).alias("hand_mask"))
+    f, j = F.col("frame"), F.col("j")
+    labels = F.explode(F.array(*[F.struct(F.lit(k).alias("j"), F.lit(name).alias("label")) for k, name in enumerate(LABELS)]))
+    rows = frames.select("recording_id", "frame", labels.alias("l")).select("recording_id", "frame", "l.*")
+    classes = rows.select("recording_id", "frame", "label", F.when(f * (j + 3) % 11 < 3, 0.0).otherwise(f * (j + 7) % 100 / 100).alias("fraction"), (f * (j + 5) % 30).alias("components"))
+    return r6(frameset.failure_modes(frames, classes, ["recording_id"], 259_200.0))
+
+
 @query(f"""with {FAIL}, f as (select distinct l_returnflag, l_orderkey from fl where modes is not null), n as (select *, coalesce((l_orderkey - lag(l_orderkey) over w > 1)::int, 1) as nw from f window w as (partition by l_returnflag order by l_orderkey)),
 r as (select *, sum(nw) over (partition by l_returnflag order by l_orderkey) as run from n), g as (select l_returnflag, run, min(l_orderkey) as first, max(l_orderkey) as last, count(*) as n from r group by all), k as (select *, row_number() over (partition by l_returnflag order by n desc, first)::int as rank from g)
 select l_returnflag, first, last, n, rank from k where rank <= 5""")

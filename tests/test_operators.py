@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as fn
-from strandline.operators import asof, events, frames, interval, islands, labels, mapmatch, quality, select, spatial, stats
+from strandline.operators import asof, events, frames, frameset, interval, islands, labels, mapmatch, quality, select, spatial, stats
 from strandline.sources import tables
 from strandline.streaming import machine
 
@@ -239,6 +239,21 @@ def test_road_events_on_a_short_drive(spark):
     assert events.road_events(df.limit(0), K, near=near).isEmpty()
 
 
+def test_failure_modes_stand_on_the_run_s_own_limits(spark):
+    schema = "k long, frame long, t long, entropy double, confidence double, fallback double, conflict double, geometric double, dense_fill double, blur double, change double, hand_visible boolean, hand_mask boolean"
+    rows = [(1, i, i * SEC, 0.9 if i == 7 else 0.1 + i / 100, 0.5, 0.0, 0.6 if i == 3 else 0.0, 0.5, 0.0, 10.0 + i, None, i == 0, 5 <= i < 8) for i in range(10)]
+    shares = {"road_surface": [0.5] * 10, "mirror": [0.1] * 4 + [0.0] + [0.1] * 5, "instrument_display": [0.1] * 10, "vehicle": [0.0, 0.0, 0.3, 0.1, 0.05, 0.02, 0.2, 0.2, 0.2, 0.2]}
+    classes = [(1, i, name, f[i], 20 if name == "vehicle" and i == 8 else 1) for name, f in shares.items() for i in range(10)]
+    frames_ = spark.createDataFrame(rows, schema)
+    labels_ = spark.createDataFrame(classes, "k long, frame long, label string, fraction double, components long")
+    found = {(r["mode"], r.frame, r.label) for r in frameset.failure_modes(frames_, labels_, ["k"], 3.0).collect()}
+    assert found == {
+        ("high_entropy", 7, None), ("internal_external_fusion_error", 3, None), ("mirror_not_detected", 4, None), ("visible_hand_not_proposed", 0, None), ("false_hand", 5, None), ("false_hand", 6, None),
+        ("false_hand", 7, None), ("hand_mask_propagated_after_disappearance", 7, None), ("fragmentation", 8, "vehicle"), ("flicker", 4, "mirror"), ("temporal_trail", 5, "vehicle"),
+    }
+    assert frameset.failure_modes(frames_.limit(0), labels_.limit(0), ["k"]).isEmpty()
+
+
 def test_cliffs_delta_and_permutation(spark):
     df = spark.createDataFrame([(1, g, float(v), b) for g, vs in (("a", [1, 2, 2, 5]), ("b", [1, 2, 3])) for b, v in enumerate(vs)], "k long, g string, v double, block long")
     want = sum((x > y) - (x < y) for x in (1, 2, 2, 5) for y in (1, 2, 3)) / 12
