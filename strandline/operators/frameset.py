@@ -9,26 +9,30 @@ from ..functions.columns import all_reasons, clip, first_reason, ratio, seconds_
 from .islands import runs
 
 
-def foveal(gaze: DataFrame, pixels: DataFrame, keys: list[str], sigma: float, reach: float, n_classes: int, x: str = "u", y: str = "v", gaze_id: str = "sample_index") -> DataFrame:
+def foveal(gaze: DataFrame, pixels: DataFrame, keys: list[str], sigma: float, reach: float, n_classes: int, x: str = "u", y: str = "v") -> DataFrame:
     """Gaussian-weighted class shares around each gaze point, times confidence: top two, margin, entropy over ln(n).
 
     pixels(keys, px, py, label, confidence) and points meet in cells of ``reach``, beyond which
-    weights are left out. Points without a pixel in reach get NULLs.
+    weights are left out. A place's pixels of one class weigh the same, so their confidences are added
+    first, and points at one place are worked out once. Points without a pixel in reach get NULLs.
     """
     cell = lambda c: F.floor(F.col(c) / reach)
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = gaze.select(*keys, gaze_id, x, y, F.explode(steps).alias("_s")).withColumns({"_cx": cell(x) + F.col("_s.i"), "_cy": cell(y) + F.col("_s.j")})
-    near = spread.join(pixels.withColumns({"_cx": cell("px"), "_cy": cell("py")}), [*keys, "_cx", "_cy"])
+    spread = gaze.select(*keys, x, y).distinct().select(*keys, x, y, F.explode(steps).alias("_s")).withColumns({"_cx": cell(x) + F.col("_s.i"), "_cy": cell(y) + F.col("_s.j")}).drop("_s")
+    classes = pixels.groupBy(*keys, "px", "py", "label").agg(F.sum("confidence").alias("_c"))
+    places = classes.groupBy(*keys, "px", "py").agg(F.collect_list(F.struct("label", "_c")).alias("_of")).withColumns({"_cx": cell("px"), "_cy": cell("py")})
+    # Spark's estimate doesn't see the nine copies, so it may not broadcast them.
+    near = spread.hint("merge").join(places, [*keys, "_cx", "_cy"])
     d2 = F.pow(F.col(x) - F.col("px"), 2) + F.pow(F.col(y) - F.col("py"), 2)
-    weight = F.exp(-d2 / (2 * sigma * sigma)) * F.col("confidence")
-    mass = near.where(d2 <= reach * reach).groupBy(*keys, gaze_id, "label").agg(F.sum(weight).alias("m"))
-    whole = Window.partitionBy(*keys, gaze_id)
+    weighed = near.where(d2 <= reach * reach).select(*keys, x, y, F.exp(-d2 / (2 * sigma * sigma)).alias("_w"), F.explode("_of").alias("_l"))
+    mass = weighed.select(*keys, x, y, "_l.label", (F.col("_w") * F.col("_l._c")).alias("_m")).groupBy(*keys, x, y, "label").agg(F.sum("_m").alias("m"))
+    whole = Window.partitionBy(*keys, x, y)
     shares = mass.withColumn("p", F.try_divide(F.col("m"), F.sum("m").over(whole))).withColumn("_rank", F.row_number().over(whole.orderBy(F.desc("p"), "label")))
-    top = shares.groupBy(*keys, gaze_id).agg(
+    top = shares.groupBy(*keys, x, y).agg(
         F.max(F.when(F.col("_rank") == 1, F.col("label"))).alias("top1"), F.max(F.when(F.col("_rank") == 1, F.col("p"))).alias("p1"), F.max(F.when(F.col("_rank") == 2, F.col("label"))).alias("top2"),
         F.coalesce(F.max(F.when(F.col("_rank") == 2, F.col("p"))), F.lit(0.0)).alias("p2"), (-F.sum(F.when(F.col("p") > 0, F.col("p") * F.ln("p")).otherwise(0.0)) / F.ln(F.lit(n_classes))).alias("entropy"),
     )
-    return gaze.join(top, [*keys, gaze_id], "left").withColumn("margin", F.col("p1") - F.col("p2"))
+    return gaze.join(top, [*keys, x, y], "left").withColumn("margin", F.col("p1") - F.col("p2"))
 
 
 def histogram(pixels: DataFrame, keys: list[str], label: str = "label") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import threading
 from datetime import datetime, timedelta
 
 import pytest
@@ -239,6 +240,19 @@ def test_road_events_on_a_short_drive(spark):
     assert events.road_events(df.limit(0), K, near=near).isEmpty()
 
 
+def test_foveal_sampling_counts_places_once(spark):
+    """Point by pixel these would be 4e10 pairs."""
+    points = spark.range(200_000).selectExpr("0L as g", "id as sample_index", "id % 2 * 100.0D as u", "1.0D as v")
+    pixels = spark.range(200_000).selectExpr("0L as g", "1.0D as px", "2.0D as py", "if(id % 4 = 0, 'a', 'b') as label", "0.5D as confidence")
+    late = threading.Timer(120, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        found = frameset.foveal(points, pixels, ["g"], 5.0, 12.0, 2).groupBy("u", "top1", "top2", F.round("p1", 9).alias("p1"), F.round("margin", 9).alias("margin")).count().collect()
+    finally:
+        late.cancel()
+    assert {tuple(r) for r in found} == {(0.0, "b", "a", 0.75, 0.5, 100_000), (100.0, None, None, None, None, 100_000)}
+
+
 def test_failure_modes_stand_on_the_run_s_own_limits(spark):
     schema = "k long, frame long, t long, entropy double, confidence double, fallback double, conflict double, geometric double, dense_fill double, blur double, change double, hand_visible boolean, hand_mask boolean"
     rows = [(1, i, i * SEC, 0.9 if i == 7 else 0.1 + i / 100, 0.5, 0.0, 0.6 if i == 3 else 0.0, 0.5, 0.0, 10.0 + i, None, i == 0, 5 <= i < 8) for i in range(10)]
