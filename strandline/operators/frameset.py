@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import all_reasons, clip, first_reason, ratio, seconds_to_samples
 from .islands import runs
+from .stats import interpolated, sorted_quantile
 
 
 def foveal(gaze: DataFrame, pixels: DataFrame, keys: list[str], sigma: float, reach: float, n_classes: int, x: str = "u", y: str = "v") -> DataFrame:
@@ -105,7 +106,9 @@ def failure_modes(frames: DataFrame, classes: DataFrame, keys: list[str], trail_
     step = F.percentile("_dt", 0.5)
     steps = F.when(step > 0, seconds_to_samples(F.lit(trail_s), 1e9 / step)).otherwise(F.lit(5))
     at = {"_entropy": ("entropy", 0.9), "_confidence": ("confidence", 0.1), "_fallback": ("fallback", 0.9), "_blur": ("blur", 0.15), "_change": ("change", 0.9)}
-    limits = frames.withColumn("_dt", F.col(time) - F.lag(time).over(w)).groupBy(*keys).agg(steps.alias("_k"), *[F.percentile(c, q).alias(name) for name, (c, q) in at.items()])
+    around = [F.struct(*[part.alias(n) for part, n in zip(sorted_quantile(c, q), ("low", "high", "weight"))]).alias(name) for name, (c, q) in at.items()]
+    limits = frames.withColumn("_dt", F.col(time) - F.lag(time).over(w)).groupBy(*keys).agg(steps.alias("_k"), *around)
+    limits = limits.select(*keys, "_k", *[interpolated(F.col(f"{name}.low"), F.col(f"{name}.high"), F.col(f"{name}.weight")).alias(name) for name in at])
     share = lambda *names: F.coalesce(F.sum(F.when(F.col("label").isin(*names), F.col("fraction"))), F.lit(0.0))
     shares = classes.groupBy(*keys, frame).agg(share("road_surface").alias("_road"), share(*COCKPIT).alias("_cockpit"), share("mirror").alias("_mirror"), share("instrument_display").alias("_display"))
     whole = frames.join(shares, [*keys, frame], "left").fillna(0.0, ["_road", "_cockpit", "_mirror", "_display"]).join(limits, keys)

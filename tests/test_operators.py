@@ -301,6 +301,27 @@ def test_failure_modes_stand_on_the_run_s_own_limits(spark):
     assert frameset.failure_modes(frames_.limit(0), labels_.limit(0), ["k"]).isEmpty()
 
 
+def test_failure_modes_take_neighbouring_doubles_as_the_sql_does(spark):
+    low, high = 0.076923, math.nextafter(0.076923, 1)
+    schema = "k long, frame long, t long, entropy double, confidence double, fallback double, conflict double, geometric double, dense_fill double, blur double, change double, hand_visible boolean, hand_mask boolean"
+    frames_ = spark.createDataFrame([(1, i, i * SEC, None, None, high if i == 2 else low, None, None, None, None, None, None, None) for i in range(5)], schema)
+    labels_ = spark.createDataFrame([(1, i, name, 0.5, 1) for i in range(5) for name in ("mirror", "instrument_display")], "k long, frame long, label string, fraction double, components long")
+    found = [(r["mode"], r.frame) for r in frameset.failure_modes(frames_, labels_, ["k"]).collect()]
+    limit = duckdb.sql(f"select quantile_cont(x, 0.9) from (select unnest({[low] * 4 + [high]}::double[]) as x)").fetchall()[0][0]
+    assert high > limit and found == [("excessive_fallback", 2)]
+
+
+def test_interpolated_quantiles_equal_the_sql_to_the_last_bit(spark):
+    rows = [(k, 0.1 + k / 7 + (i * (k + 3) % 5) * 2.0**-53) for k in range(200) for i in range(2 + k % 23)] + [(900, None), (901, 3.0)]
+    for q in (0.1, 0.15, 0.9):
+        around = F.struct(*[c.alias(n) for c, n in zip(stats.sorted_quantile("v", q), ("low", "high", "weight"))]).alias("q")
+        found = spark.createDataFrame(rows, "k long, v double").groupBy("k").agg(around).select("k", stats.interpolated(F.col("q.low"), F.col("q.high"), F.col("q.weight")).alias("q")).collect()
+        con = duckdb.connect()
+        con.sql("create table t (k bigint, v double)")
+        con.executemany("insert into t values (?, ?)", rows)
+        assert sorted(map(tuple, found)) == sorted(con.sql(f"select k, quantile_cont(v, {q}) from t group by k").fetchall())
+
+
 def test_cliffs_delta_and_permutation(spark):
     df = spark.createDataFrame([(1, g, float(v), b) for g, vs in (("a", [1, 2, 2, 5]), ("b", [1, 2, 3])) for b, v in enumerate(vs)], "k long, g string, v double, block long")
     want = sum((x > y) - (x < y) for x in (1, 2, 2, 5) for y in (1, 2, 3)) / 12
