@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most ``size`` bytes of the column, strings without nulls; a longer one stands alone."""
+    for batch in batches:
+        upto, at = np.cumsum(pc.binary_length(batch[column]).to_numpy().astype(np.int64)), 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))
+            part = batch.slice(at, stop - at)
+            yield part.set_column(part.schema.get_field_index(column), column, part[column].cast(pa.string()))
+            at = stop
+
+
 def per_slice(fn: Callable[[pa.RecordBatch], dict], schema: pa.Schema, rows: int = 256):
     """A function for mapInArrow that turns each slice into the columns fn returns."""
 

@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     rows = texts(docs).withColumn(ROW_ID, F.monotonically_increasing_id()).withColumn("text", F.coalesce("text", F.lit("")))
 
     def run(batches):
-        encoder = segment_encoder(tokenizer_path, False)
+        encoder = segment_encoder(tokenizer_path)
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in slices(batches):
             out = []

@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, Scratch, lookup, slices, texts
-from .segments import segment_encoder
+from .common import ROW_ID, Scratch, lookup, portions, texts
+from .segments import column_encoder
 
 SHORTEST, LONGEST, BITS = 64, 4096, 9
 #: Digests a task remembers, to send a payload once.
@@ -55,8 +55,8 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Content-defined ends; the hash of 16 ids is built by doubling its window four times."""
+def chunk_marks(ids: np.ndarray) -> np.ndarray:
+    """Where the hash of the last 16 ids lets a chunk end; the hash is built by doubling its window four times."""
     h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -64,9 +64,18 @@ def chunk_ends(ids: np.ndarray) -> list[int]:
         rolled = h.copy()
         rolled[span:] += h[:-span] << np.uint64(span) if len(h) > span else np.uint64(0)
         h = rolled
-    marks = np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << BITS) - 1) == 0) + 1
-    ends, at, n = [], 0, len(ids)
-    for mark in marks.tolist():
+    return np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << BITS) - 1) == 0) + 1
+
+
+def chunk_ends(ids: np.ndarray) -> list[int]:
+    """Content-defined ends."""
+    return ends_at(chunk_marks(ids).tolist(), len(ids))
+
+
+def ends_at(marks: list[int], n: int) -> list[int]:
+    """Ends of n ids with these marks. None is before SHORTEST, so marks whose 16 ids reach back before the first don't count."""
+    ends, at = [], 0
+    for mark in marks:
         while mark - at > LONGEST:
             at += LONGEST
             ends.append(at)
@@ -132,29 +141,33 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, bl
     ])
 
     def encode(batches):
-        encoder = segment_encoder(tokenizer_path, True)
+        encoder = column_encoder(tokenizer_path)
         end, sent = np.array([end_id], encoder.kind).tobytes(), set()
-        for batch in slices(batches):
+        for batch in portions(batches, "text"):
             chunks, recipes = [], []
-            for row_id, ids in zip(batch[ROW_ID].to_pylist(), encoder.encode(batch["text"].to_pylist())):
-                ids += end
-                array = np.frombuffer(ids, encoder.kind)
-                ends, digests, at = chunk_ends(array), [], 0
+            data, begins = encoder.encode(batch["text"], end)
+            begins //= encoder.width
+            marks = chunk_marks(np.frombuffer(data, encoder.kind))
+            upto = np.searchsorted(marks, begins, "right").tolist()
+            for i, (row_id, first, last) in enumerate(zip(batch[ROW_ID].to_pylist(), begins[:-1].tolist(), begins[1:].tolist())):
+                ends, digests, at = ends_at((marks[upto[i] : upto[i + 1]] - first).tolist(), last - first), [], 0
                 for stop in ends:
-                    payload = ids[at * encoder.width : stop * encoder.width]
+                    payload = data[(first + at) * encoder.width : (first + stop) * encoder.width]
                     digests.append(name := digest(payload))
                     if name not in sent:
                         if len(sent) < REMEMBERED:
                             sent.add(name)
                         chunks.append((name, stop - at, payload))
                     at = stop
-                recipes.append((row_id.to_bytes(8, "little"), len(array), digests, ends, merkle(digests)))
+                recipes.append((row_id.to_bytes(8, "little"), last - first, digests, ends, merkle(digests)))
             for kind_name, names, found in (("chunk", ("place", "n", "payload"), chunks), ("recipe", ("place", "n_tokens", "digests", "ends", "root"), recipes)):
                 columns = dict(zip(names, zip(*found))) | ({"doc_id": batch["doc_id"], ROW_ID: batch[ROW_ID], "width": [encoder.width] * len(found)} if kind_name == "recipe" else {})
                 columns["kind"] = [kind_name] * len(found)
                 if found:
                     arrays = [columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(found), f.type) for f in schema]
                     yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            # Else the pool keeps a portion's memory beside what the next one takes.
+            pa.default_memory_pool().release_unused()
 
     def once(batches):
         last = None

@@ -3,13 +3,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandline.llm import bpe, packing, store
-from strandline.llm.common import Scratch, lookup
+from strandline.llm import bpe, packing, segments, store
+from strandline.llm.common import Scratch, lookup, portions
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -228,3 +229,53 @@ def test_the_search_reaches_the_bound_from_a_start_far_from_it():
     assert len(start) >= least + 10 and len(search.bins()) <= least + 1
     assert len(search.bins()) <= len(packing.arrival_fit(sorted(lengths, reverse=True), 4096))
     assert all(search.accepted[kind] > 0 for kind in ("move", "exchange", "two for one"))
+
+
+def column_ids(encoder, texts, end=b"\2\0"):
+    data, begins = encoder.encode(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), end)
+    assert begins[0] == 0 and begins[-1] == len(data)
+    return [np.frombuffer(data[i:j], encoder.kind).tolist() for i, j in zip(begins, begins[1:])]
+
+
+def test_a_line_end_makes_no_new_stretch_of_two_known_words():
+    encoder = segments.ColumnEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [a + b + mark for a in ("Stein", "größ", "when", "qu") for b in ("ar", "ton", "é", "xyl", "e") for mark in ("", ".")]
+    texts = [f"of {a}\n{b} on" for a in words for b in words]
+    encode = library("byte_bpe_50k.json")
+    assert column_ids(encoder, texts) == [[*encode(t), 2] for t in texts]
+    # Each once after a space and once after a line end, and three others; cut at spaces alone, it was one for each of 1,600 pairs.
+    assert len(encoder.known) <= 2 * len(words) + 3
+
+
+def test_ids_of_columns_are_the_librarys():
+    import random
+
+    encoder = segments.ColumnEncoder(public_tokenizers.path("byte_bpe_50k.json"), room=2_000)
+    encode, draw = library("byte_bpe_50k.json"), random.Random(5)
+    signs = [*"abÉß'st$!1.,_²ª中😀", "ll", "the", "<|endoftext|>", "<|ENDOFTEXT|>", "\x00", "\x1c", "\u200b", "\u180e", "“"]
+    spaces = [*"   \n\n\t\x0b\x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000", "\r\n"]
+    texts = ["", "\n", " ", "\n\nx", "a\n\n  b\n", "", " 's 'tis dogs' don't ''", "x" * 300 + " " + "y!" * 200, "é" * 100]
+    texts += ["".join(draw.choice(signs if draw.random() < 0.6 else spaces) for _ in range(draw.randint(0, 60))) for _ in range(4000)]
+    want = [[*encode(t), 2] for t in texts]
+    assert column_ids(encoder, texts) == want
+    column = pa.array(texts, pa.string())
+    assert [ids for at in range(0, len(texts), 50) for ids in column_ids(encoder, column.slice(at, 50))] == want
+    assert 100 < len(encoder.known) <= 2_000 and max(map(len, encoder.known)) <= segments.LONG
+    assert column_ids(encoder, []) == [] and column_ids(encoder, ["", ""], b"") == [[], []]
+    assert column_ids(encoder, ["a b", "c"], b"") == [encode("a b"), encode("c")]
+
+
+def test_portions_hold_every_row_and_their_chunks_are_those_of_single_documents():
+    draw = np.random.default_rng(4)
+    texts = ["", "x" * 1100, *("é" * n for n in draw.integers(0, 90, 200).tolist()), "", "y" * 101]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.large_string())], names=["row", "text"])
+    parts = list(portions(iter([batch.slice(0, 0), batch, batch.slice(2, 50)]), "text", 1000))
+    assert [t for p in parts for t in p["text"].to_pylist()] == texts + texts[2:52]
+    assert [r for p in parts for r in p["row"].to_pylist()] == [*range(len(texts)), *range(2, 52)]
+    assert len(parts) < 50 and all(p["text"].type == pa.string() and (p.num_rows == 1 or sum(len(t.encode()) for t in p["text"].to_pylist()) <= 1000) for p in parts)
+
+    docs = [draw.integers(0, 50_000, n) for n in (1, 3000, 63, 65, 20_000, 15, 700, 9000)]
+    begins = np.cumsum([0, *map(len, docs)])
+    marks = store.chunk_marks(np.concatenate(docs))
+    for doc, first, last in zip(docs, begins, begins[1:]):
+        assert store.ends_at((marks[(marks > first) & (marks <= last)] - first).tolist(), len(doc)) == store.chunk_ends(doc)
